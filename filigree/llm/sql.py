@@ -26,7 +26,7 @@ WHERE 10 * shared >= 6 * (na.n + nb.n - shared)
 _NEAR = """
 WITH v AS (
   SELECT window_id, min(window_map) AS record_no, any_value(embedding)::DOUBLE[96] AS e
-  FROM index_windows WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, x -> abs(x)), 'max') > 0
+  FROM index_windows WHERE embedding IS NOT NULL AND (list_max(embedding) > 0 OR list_min(embedding) < 0)
   GROUP BY window_id
 ),
 r AS (

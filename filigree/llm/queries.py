@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import idealpoint, lookalike, mojibake, neardup, split, vectors
+from filigree.llm import idealpoint, leakage, lookalike, mojibake, neardup, packing, repetition, split, vectors
 from filigree.session import table
 
 SCORES = ["bm25_score", "embed_score", "score"]
@@ -89,6 +89,33 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "blocks"), ["doc", "ord"])
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id")
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_removal(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.removal_spans(p8_spans(spark, d))
+
+
+def p9_lines(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.line_first(table(spark, d, "documents"), "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the documents line-first cleaning finds repetitive, those over the share in all."""
+    candidates = p9_lines(spark, d).where("repetitive")
+    exact = (F.col("n_words") >= 50) & (F.col("n_repeated") * 10 >= F.col("n_sequences") * 3)
+    return candidates.where(exact).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,5 +132,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p5_unified_quotes,
         p6_found,
         p6_repaired,
+        p7_containers,
+        p8_found,
+        p8_spans,
+        p8_removal,
+        p9_found,
+        p9_lines,
     )
 }

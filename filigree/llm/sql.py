@@ -111,10 +111,35 @@ SELECT qid, chunk_id, round(closeness, 6) AS closeness,
 FROM e
 """
 
+P8_FOUND = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ip AS (
+  SELECT DISTINCT item_id, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)
+),
+dp AS (
+  SELECT doc_id, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)
+)
+SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (phrase)
+"""
+
+P9_FOUND = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (
+  SELECT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 50)
+)
+SELECT doc_id FROM g GROUP BY doc_id HAVING 10 * (count(*) - count(DISTINCT gram)) >= 3 * count(*)
+"""
+
 SQL = {
     "p1_found": P1_FOUND,
     "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
     "p4_found": P4_FOUND,
     "p4_ranking": P4_RANKING,
+    "p8_found": P8_FOUND,
+    "p9_found": P9_FOUND,
 }

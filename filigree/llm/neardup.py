@@ -2,13 +2,14 @@
 
 1. A text becomes the set of its distinct word sequences, hashed once. Texts with
    the same set are one class; only classes take part below.
-2. A class keeps its k smallest hashes. Two classes at the threshold share at
-   least t of them (five standard deviations below what is expected), so each
-   class need be listed under its ``k - t + 1`` rarest retained values only: the
-   inverted lists then bring together every pair that can pass, and values that
-   half the corpus shares are not listed at all. A long list is cut into blocks.
-3. The union's sketch estimates the similarity of each pair that met; clear
-   misses go. 4. The full sets decide exactly.
+2. A class keeps the smallest hashes of its sequences of ``LISTED`` words, which are
+   longer than the ones compared: texts alike at the threshold keep whole
+   passages, while stock phrases that thousands of texts share stay shorter.
+   Inverted lists of the retained values bring pairs together; a long list is cut
+   into blocks, each a join key of its own. Texts too short to be sure of an
+   unbroken passage are listed under their rarest compared sequences as well.
+3. Sketches of the compared sequences estimate the similarity of a pair that
+   met, by the sketch of their union; clear misses go. 4. The full sets decide.
 
 Everything is array functions and joins in the JVM.
 """
@@ -20,8 +21,14 @@ from pyspark.sql import functions as F
 
 from filigree.session import cut
 
-SKETCH = 64
-#: Standard deviations below the expected overlap that a pair may fall and still meet.
+#: Hashes kept for the estimate, and for the lists.
+SKETCH, LIST_SKETCH = 64, 96
+#: Words of a listed sequence. At a similarity of 0.6 over three words, evenly spread edits
+#: leave a quarter of them whole, so a pair fails to meet with a chance below 1e-6.
+LISTED = 8
+#: A text with fewer words may lack an unbroken passage; one with fewer than SHORT may have such a partner.
+SURE, SHORT = 24, 64
+#: Standard deviations below the expected overlap at which the estimate gives up a pair.
 SIGMAS = 5
 #: Longest piece of an inverted list that one join key holds.
 BLOCK = 1000
@@ -36,59 +43,59 @@ def shingles(tokens: Column, n: int) -> Column:
     """Sorted distinct hashes of the ``n``-word sequences; empty below ``n`` words."""
     at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
     hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(n)]))
-    return F.when(F.size(tokens) >= n, F.array_sort(F.array_distinct(hashed))).otherwise(
+    return F.when(F.size(tokens) >= n, F.sort_array(F.array_distinct(hashed))).otherwise(
         F.array().cast("array<bigint>")
     )
 
 
 def classes(df: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
-    """``id, cls, n, sketch, grams`` per distinct key with enough words (checkpointed).
+    """``id, cls, n, sketch, grams, listed, short`` per distinct key with enough words (checkpointed).
 
     ``cls`` is a digest of the whole set: equal sets, and only they, share it.
     """
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where(
         F.col("id").isNotNull() & F.col("t").isNotNull()
     )
-    tokens = rows.dropDuplicates(["id"]).select("id", words(F.col("t")).alias("w"))
-    grams = tokens.where(F.size("w") >= max(n, min_words)).select("id", shingles(F.col("w"), n).alias("grams"))
+    tokens = rows.dropDuplicates(["id"]).select("id", words(F.col("t")).alias("w")).where(
+        F.size("w") >= max(n, min_words)
+    )
+    short = (F.size("w") < SHORT) if min_words < SURE else F.lit(False)
+    grams = tokens.select(
+        "id", shingles(F.col("w"), n).alias("grams"), shingles(F.col("w"), max(n, LISTED)).alias("long"), short.alias("short")
+    )
     return cut(
         grams.select(
             "id",
-            F.unhex(F.md5(F.array_join(F.transform("grams", lambda x: F.hex(x)), ",").cast("binary"))).alias("cls"),
+            F.unhex(
+                F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)])
+            ).alias("cls"),
             F.size("grams").alias("n"),
             F.slice("grams", 1, SKETCH).alias("sketch"),
             "grams",
+            F.slice("long", 1, LIST_SKETCH).alias("listed"),
+            "short",
         )
     )
 
 
-def _least_shared(s: Column, threshold: float) -> Column:
-    expected = s * F.lit(threshold)
-    return F.greatest(
-        F.floor(expected - SIGMAS * F.sqrt(expected * F.lit(1 - threshold))), F.lit(1)
-    ).cast("int")
-
-
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` (a < b): classes that meet under a rare retained value."""
-    listed = reps.select("cls", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    often = listed.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    common = listed.join(often.where(F.col("df") > 1), "v", "left")
-    entry = F.struct(F.coalesce("df", F.lit(1)).alias("df"), "v")
-    postings = (
-        common.groupBy("cls", "n", "s")
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        .select(
-            "cls",
-            "n",
-            F.explode(
-                F.filter(
-                    F.slice("e", F.lit(1), F.col("s") - _least_shared(F.col("s"), threshold) + 1),
-                    lambda x: x["df"] > 1,
-                )
-            ).alias("e"),
-        )
-        .select("cls", "n", "e.v", F.ceil(F.col("e.df") / BLOCK).cast("int").alias("blocks"))
+    """``a, b`` (a < b): classes that meet in an inverted list."""
+    by_passage = reps.select("cls", "n", F.explode("listed").alias("v"))
+    often = by_passage.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    passages = by_passage.join(often, "v")
+    # Short texts: two sets of s and more at the threshold share a value among the s - t + 1 rarest, t = threshold * s.
+    few = reps.where("short").select("cls", "n", F.explode("grams").alias("v"))
+    seen = few.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    rare = (
+        few.join(seen, "v")
+        .groupBy("cls", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("e"))
+        .select("cls", "n", F.explode(F.slice("e", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("e"))
+        .select("cls", "n", "e.v", "e.df")
+        .where("df > 1")
+    )
+    postings = passages.select("cls", "n", "v", "df").unionByName(rare).select(
+        "cls", "n", "v", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")
     )
     left = postings.select(
         F.col("cls").alias("a"), F.col("n").alias("na"), "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk")
@@ -99,19 +106,19 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     close = (F.col("a") < F.col("b")) & (
         F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
     )
-    return left.join(right, ["v", "blk"]).where(close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    return left.join(right, ["v", "blk"]).where(close).select("a", "b").distinct()
 
 
 def links(members: DataFrame, threshold: float) -> DataFrame:
     """``a, b, similarity``: every pair of classes with exact Jaccard at the threshold."""
     # One row per class; equal classes have equal content, so any row will do.
-    reps = members.select("cls", "n", "sketch", "grams").dropDuplicates(["cls"])
+    reps = members.drop("id").dropDuplicates(["cls"])
     small = reps.select("cls", "sketch")
-    met = candidates(reps.select("cls", "n", "sketch"), threshold)
+    met = candidates(reps, threshold)
     with_sketch = met.join(small.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(
         small.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b"
     )
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     in_both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
     k = F.size("u")
     likely = (

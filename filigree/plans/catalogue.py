@@ -1,11 +1,393 @@
-"""The queries of the core engine by name, with the SQL that checks them."""
+"""The queries of the core engine by name, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from filigree.functions import text as X
+from filigree.functions.vectors import l2_normalize
+from filigree.operators import answer as A
+from filigree.operators import evaluate as E
+from filigree.operators import lexical as L
+from filigree.operators.chunking import pack_chunks
+from filigree.operators.dense import dense_top, hashed_top
+from filigree.operators.extract import html_blocks
+from filigree.operators.search import search
+from filigree.operators.sections import detect_headings, fill_forward
+from filigree.plans.checks import SQL
+from filigree.session import table
+from filigree.sources import filings as S
+from filigree.sources import index_store as I
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 FLAGSHIP = "hybrid_topk"
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def chunks_once(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk once, by what all its deliveries agree on or the least value."""
+    c = table(spark, d, "chunks").where("chunk_id is not null")
+    fields = ["text", "ticker", "form", "filing_date", "report_date", "accession_number", "section_key", "section_title", "record_no", "source_sha256"]
+    return c.groupBy("chunk_id").agg(*[F.min(f).alias(f) for f in fields])
+
+
+def blocks_once(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "blocks").where("doc is not null and ord is not null")
+    return b.groupBy("doc", "ord").agg(*[F.min(f).alias(f) for f in ("text", "char_start", "char_end", "in_table", "ticker")])
+
+
+def claims_once(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "verified_claims").where("claim_id is not null")
+    fields = ["qid", "claim_text", "quote", "chunk_id", "source_sha256", "char_start", "char_end", "section_key"]
+    return c.groupBy("claim_id").agg(*[F.min(f).alias(f) for f in fields])
+
+
+def retrieved_once(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "retrieved_chunks").where("qid is not null and chunk_id is not null")
+    return r.groupBy("qid", "chunk_id").agg(*[F.min(f).alias(f) for f in ("result_rank", "bm25_rank", "embed_rank", "score")])
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", "text")
+
+
+# Text (P1, P2, P6-P8, P10-P15, P19, P27)
+
+
+@query
+def normalized_blocks(spark, d):
+    b = blocks_once(spark, d)
+    return b.select("doc", "ord", X.normalize(F.col("text")).alias("norm"), X.canonical(F.col("text")).alias("canonical"))
+
+
+@query
+def decoded_bytes(spark, d):
+    """Round trip of block texts through bytes: UTF-8 as it is, and cut so that it must be Latin-1."""
+    raw = blocks_once(spark, d).select("doc", "ord", F.encode("text", "UTF-8").alias("raw"))
+    x = X.decode_bytes(F.col("raw"))
+    return raw.select("doc", "ord", x["text"].alias("text"), x["encoding"].alias("encoding"), F.sha2("raw", 256).alias("sha256"))
+
+
+@query
+def filing_paths(spark, d):
+    f = table(spark, d, "filings").select("accession_number", "cik", "primary_document", "size_bytes").distinct()
+    return f.select(
+        "accession_number",
+        X.pad_cik(F.col("cik")).alias("cik10"),
+        X.submissions_url(F.col("cik")).alias("history_url"),
+        X.archive_url(F.col("cik"), F.col("accession_number"), F.col("primary_document")).alias("archive_url"),
+        X.human_size(F.col("size_bytes")).alias("human_size"),
+    ).distinct()
+
+
+@query
+def windows_split(spark, d):
+    return I.window_texts(chunks_once(spark, d))
+
+
+@query
+def enriched_headers(spark, d):
+    rich = I.enrich(chunks_once(spark, d), table(spark, d, "entities"))
+    return rich.select("chunk_id", "header", F.length("indexed_text").alias("n_chars"))
+
+
+@query
+def normalized_vectors(spark, d):
+    w = table(spark, d, "index_windows").where("window_id is not null and embedding is not null")
+    v = w.groupBy("window_id").agg(F.first("embedding").alias("e")).select("window_id", F.posexplode(l2_normalize(F.col("e"))).alias("dim", "x"))
+    return v.groupBy("window_id").agg(
+        F.round(F.sum(F.col("x").cast("double") * F.col("x")), 4).alias("norm2"), F.round(F.max("x").cast("double"), 5).alias("largest")
+    )
+
+
+# Lexical search
+
+
+@query
+def term_freq(spark, d):
+    tf = L.term_frequencies(chunks_once(spark, d), "chunk_id", "text")
+    return tf.select(F.col("doc").alias("chunk_id"), "term", "tf", "dl")
+
+
+@query
+def doc_freq_idf(spark, d):
+    c = chunks_once(spark, d)
+    idf = L.document_frequencies(L.term_frequencies(c, "chunk_id", "text"), L.corpus_stats(c, "text"))
+    return idf.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query
+def corpus_stats(spark, d):
+    return L.corpus_stats(chunks_once(spark, d), "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+def _ranked(df: DataFrame, qid: str = "item_id", doc: str = "chunk_id") -> DataFrame:
+    return df.select(F.col("qid").alias(qid), F.col("doc").alias(doc), "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_topk(spark, d):
+    return _ranked(L.bm25_top(chunks_once(spark, d), items(spark, d), "chunk_id", "item_id", 10))
+
+
+@query
+def bm25_topk_filtered(spark, d):
+    c = chunks_once(spark, d)
+    ok = c.where(F.upper("form") == "10-K").select(F.col("chunk_id").alias("doc"))
+    return _ranked(L.bm25_top(c, items(spark, d), "chunk_id", "item_id", 10, eligible=ok))
+
+
+# Dense search (P16-P18, A5, L2, U1) and fusion
+
+
+@query
+def window_maxpool(spark, d):
+    """Windows with an id divisible by 20 against all windows, pooled by the chunk they come from."""
+    w = table(spark, d, "index_windows")
+    asked = w.where("window_id % 20 = 0")
+    return _ranked(dense_top(asked, w, "window_id", "window_id", "embedding", 5, pool="window_map"), "window_id", "record_no")
+
+
+@query
+def hash_cosine_topk(spark, d):
+    return _ranked(hashed_top(chunks_once(spark, d), items(spark, d), "chunk_id", "item_id", 10))
+
+
+def _search(spark, d, **options) -> DataFrame:
+    found = search(chunks_once(spark, d), items(spark, d), query_key="item_id", **options)
+    return found.select(
+        F.col("qid").alias("item_id"),
+        F.col("doc").alias("chunk_id"),
+        "rank",
+        F.round("score", 6).alias("score"),
+        "bm25_rank",
+        F.round("bm25_score", 6).alias("bm25_score"),
+        "embed_rank",
+        F.round("embed_score", 6).alias("embed_score"),
+    )
+
+
+@query
+def hybrid_topk(spark, d):
+    return _search(spark, d)
+
+
+@query
+def hybrid_topk_scoped(spark, d):
+    return _search(spark, d, filters={"form": "10-q"}, method="bm25")
+
+
+# Structure
+
+HEADING = r"(?i)^(item\s+\d{1,2}|part\s+(?:i{1,3}|iv)\b)"
+
+
+def _labelled(spark, d) -> DataFrame:
+    b = blocks_once(spark, d)
+    mark = F.when(~F.col("in_table") & F.col("text").rlike(HEADING), F.lower(F.regexp_extract("text", HEADING, 1)))
+    return b.select("doc", "ord", "text", "char_start", "char_end", "in_table", mark.alias("mark")).select(
+        "doc", "ord", "text", "char_start", "char_end", "in_table", fill_forward(F.col("mark"), "preamble").alias("section_key")
+    )
+
+
+@query
+def section_ffill(spark, d):
+    return _labelled(spark, d).select("doc", "ord", "section_key")
+
+
+@query
+def packed_chunks(spark, d):
+    packed = pack_chunks(_labelled(spark, d).withColumn("section_title", F.col("section_key")))
+    return packed.select("doc", "chunk_order", "section_key", "n_blocks", "char_start", "char_end", "oversized", F.length("text").alias("n_chars"))
+
+
+@query
+def heading_chains(spark, d):
+    forms = table(spark, d, "filings").groupBy("accession_number").agg(F.min("form").alias("form"))
+    b = blocks_once(spark, d).join(forms, F.col("doc") == F.col("accession_number"))
+    return detect_headings(b).select("doc", "ord", "key", "is_part")
+
+
+@query
+def html_roundtrip(spark, d):
+    """Blocks written as HTML and extracted again: the same texts, and spans that give them back."""
+    e = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    as_html = F.when(F.col("in_table"), F.concat(F.lit("<table><tr><td>"), e, F.lit("</td></tr></table>"))).otherwise(
+        F.concat(F.lit("<p>"), e, F.lit("</p>"))
+    )
+    docs = blocks_once(spark, d).groupBy("doc").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", as_html.alias("h")))), lambda x: x["h"]), "\n").alias("html")
+    )
+    found = html_blocks(docs, "doc")
+    return found.select("doc", F.col("ord").alias("n"), "text", "in_table", "verified")
+
+
+@query
+def block_stats(spark, d):
+    return blocks_once(spark, d).groupBy("doc").agg(
+        F.count(F.lit(1)).alias("blocks"),
+        F.count_if(~F.col("in_table")).alias("prose_blocks"),
+        F.sum(F.when(~F.col("in_table"), F.length("text")).otherwise(0)).alias("prose_chars"),
+    )
+
+
+# Filings (W1, S7, J10, J18, A13, F4)
+
+
+@query
+def latest_filings(spark, d):
+    f = table(spark, d, "filings").withColumn("company", F.upper("ticker"))
+    order = [F.col("filing_date").desc(), F.col("accession_number")]
+    return S.latest_per_form(f, "company", order).select("company", "form", "accession_number", "filing_date")
+
+
+@query
+def missing_forms(spark, d):
+    f = table(spark, d, "filings").withColumn("company", F.upper("ticker"))
+    return S.missing_forms(f, f, company="company")
+
+
+@query
+def stale_sources(spark, d):
+    recorded = chunks_once(spark, d).select(F.col("accession_number").alias("path"), F.col("source_sha256").alias("sha256"))
+    now = table(spark, d, "filings").select(F.col("accession_number").alias("path"), "sha256")
+    return I.stale_sources(recorded, now)
+
+
+@query
+def repeated_deliveries(spark, d):
+    c = table(spark, d, "chunks").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    return c.where("n > 1")
+
+
+# Answers (J6, J16, P19-P22, P29, P32, A12, A17, C3)
+
+
+@query
+def scoped_questions(spark, d):
+    return A.scope(items(spark, d), table(spark, d, "entities"), key="item_id")
+
+
+@query
+def quote_verdicts(spark, d):
+    return A.verify_claims(claims_once(spark, d).select("claim_id", "qid", "chunk_id", "quote"), chunks_once(spark, d)).select("claim_id", "verdict")
+
+
+@query
+def claims_grouped(spark, d):
+    v = A.verify_claims(
+        claims_once(spark, d).select("claim_id", "qid", "chunk_id", "quote"), chunks_once(spark, d), retrieved_once(spark, d)
+    )
+    return A.group_claims(v)
+
+
+@query
+def expected_facts(spark, d):
+    patterns = F.array(F.lit(r"\$[0-9.,]+"), F.lit(r"(fiscal|quarter) "))
+    hay = F.concat_ws(" ", "claim_text", "quote")
+    return claims_once(spark, d).select("claim_id", X.facts_present(patterns, hay).alias("all_present"))
+
+
+@query
+def prompts(spark, d):
+    r = retrieved_once(spark, d).where("result_rank <= 3").select("qid", "chunk_id", F.col("result_rank").alias("rank"))
+    made = A.prompts(r.join(chunks_once(spark, d), "chunk_id"))
+    return made.select("qid", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
+
+
+@query
+def answers(spark, d):
+    q = items(spark, d).select(F.col("item_id").alias("qid"), "text")
+    return A.answer(q, chunks_once(spark, d), table(spark, d, "entities")).drop("claims")
+
+
+# Evaluation
+
+
+def _methods(spark, d) -> DataFrame:
+    r = retrieved_once(spark, d)
+    pairs = [("fused", "result_rank"), ("bm25", "bm25_rank"), ("embed", "embed_rank")]
+    ranks = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("rank")) for m, c in pairs]))
+    return r.select("qid", F.col("chunk_id").alias("doc"), ranks.alias("m")).select("m.method", "qid", "doc", "m.rank").where("rank is not null")
+
+
+def _acceptable(spark, d) -> DataFrame:
+    return claims_once(spark, d).where("qid is not null and chunk_id is not null").select("qid", F.col("chunk_id").alias("doc"))
+
+
+@query
+def gold_metrics(spark, d):
+    m = E.retrieval_metrics(E.first_hits(_methods(spark, d), _acceptable(spark, d)))
+    return m.select("method", "n_questions", *[F.round(c, 9).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
+
+
+@query
+def gold_bars(spark, d):
+    return E.bars(E.retrieval_metrics(E.first_hits(_methods(spark, d), _acceptable(spark, d))))
+
+
+@query
+def rescue_counts(spark, d):
+    return E.rescues(E.first_hits(_methods(spark, d), _acceptable(spark, d)))
+
+
+@query
+def crowded_results(spark, d):
+    w = table(spark, d, "index_windows").where("embedding is not null").groupBy("window_id").agg(
+        F.min("window_map").alias("record_no"), F.first("embedding").alias("e")
+    )
+    docs = chunks_once(spark, d).select("chunk_id", "record_no")
+    windows = w.join(docs, "record_no").select(F.col("chunk_id").alias("doc"), l2_normalize(F.col("e")).alias("v"))
+    top = retrieved_once(spark, d).select("qid", F.col("chunk_id").alias("doc"), F.col("result_rank").alias("rank"))
+    return E.crowding(top, windows, alike=0.5).withColumn("similarity", F.round("similarity", 4))
+
+
+@query
+def top_score_median(spark, d):
+    best = retrieved_once(spark, d).where("not isnan(score)").groupBy("qid").agg(F.max("score").alias("s"))
+    return best.agg(F.count(F.lit(1)).alias("n_questions"), F.round(F.median("s"), 6).alias("median_top_score"))
+
+
+@query
+def citation_audit(spark, d):
+    return E.audit_citations(claims_once(spark, d), chunks_once(spark, d), retrieved_once(spark, d))
+
+
+@query
+def scope_check(spark, d):
+    """Of each question's results, whether all of them are annual reports."""
+    r = retrieved_once(spark, d)
+    hits = r.join(chunks_once(spark, d), "chunk_id").select(F.col("qid").alias("case_id"), "chunk_id", "ticker", "form", "section_key")
+    none = F.lit(None).cast("string")
+    cases = r.select(F.col("qid").alias("case_id")).distinct().select(
+        "case_id", none.alias("expected_ticker"), F.lit("10-K").alias("expected_form"), none.alias("expected_section_key")
+    )
+    return E.filter_scope(hits, cases)
+
+
+@query
+def paraphrase_agreement(spark, d):
+    v = A.verify_claims(claims_once(spark, d).select("claim_id", "qid", "chunk_id", "quote"), chunks_once(spark, d))
+    return E.paraphrase_agreement(v.select(F.col("qid").alias("case_id"), (F.col("verdict") != "verified").alias("refused")))
+
+
+@query
+def case_results(spark, d):
+    v = A.verify_claims(claims_once(spark, d).select("claim_id", "qid", "section_key", "chunk_id", "quote"), chunks_once(spark, d))
+    kind = F.coalesce(F.lower("section_key"), F.lit("none"))
+    return E.run_cases(v.select(F.col("qid").alias("case_id"), kind.alias("type"), (F.col("verdict") == "verified").alias("ok")))
+
+
+@query
+def upper_medians(spark, d):
+    return E.upper_median(table(spark, d, "events"), "event_type", "value")

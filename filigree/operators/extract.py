@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,9 +159,7 @@ def verify_spans(df: DataFrame, doc: str, start: str, end: str, text: str, inclu
     """Add ``name``: whether the span of ``doc`` gives ``text`` back. Null inputs give false."""
 
     @F.pandas_udf("boolean")
-    def check(batches: Iterator[tuple]) -> Iterator:
-        import pandas as pd
-
+    def check(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for d, s, e, t in batches:
             yield pd.Series(
                 [

@@ -175,7 +175,7 @@ def _clusters(spark: SparkSession, segments: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("seg").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, 0)
     placed = mapped.withColumn(
-        "k", F.sum(F.when(F.coalesce(F.col("m.ccc"), F.lit(0)) == 0, 1).otherwise(0)).over(order)
+        "k", F.sum(F.when(F.col("m.ccc") == 0, 1).otherwise(0)).over(order)
     )
     mark = F.struct("k", F.col("m.ccc").alias("ccc"), "i", "j", F.col("m.ch").alias("ch"))
     gathered = placed.groupBy("seg").agg(

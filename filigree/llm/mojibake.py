@@ -164,16 +164,22 @@ def _as_bytes(token: str, wrong: str, right: str) -> str | None:
 
 
 @lru_cache(maxsize=1 << 17)
-def _repair_once(token: str) -> tuple[str, str] | None:
-    """The cheapest accepted repair of one layer: (text, 'wrong>right')."""
+def _repair_once(token: str) -> tuple[str, tuple[str, ...]] | None:
+    """The cheapest accepted repair: (text, its steps as 'wrong>right').
+
+    Layers of one encoding are undone together, since what lies between two of
+    them may look worse than either.
+    """
     cost, _ = oddness(token)
     best = None
     for codec in UTF8_AS:
-        if got := _as_utf8(token, codec):
-            new, mixed = oddness(got[0])
-            foreign = sum(1 for c in got[0] if c.isalpha() and _script(c) != "L")
-            if not mixed and new < cost and (not foreign or got[1] >= 3) and (best is None or new < best[0]):
-                best = (new, got[0], f"{codec}>utf-8")
+        layer, steps, sequences = token, (), 0
+        while len(steps) < MAX_LAYERS and (got := _as_utf8(layer, codec)):
+            layer, steps, sequences = got[0], (*steps, f"{codec}>utf-8"), got[1]
+            new, mixed = oddness(layer)
+            foreign = any(c.isalpha() and _script(c) != "L" for c in layer)
+            if not mixed and new < cost and (not foreign or sequences >= 3) and (best is None or new < best[0]):
+                best = (new, layer, steps)
     if best:
         return best[1:]
     for wrong, right in BYTE_AS:
@@ -181,7 +187,7 @@ def _repair_once(token: str) -> tuple[str, str] | None:
         if got is not None and got != token:
             new, mixed = oddness(got)
             if not mixed and new <= cost - 2 and (best is None or new < best[0]):
-                best = (new, got, f"{wrong}>{right}")
+                best = (new, got, (f"{wrong}>{right}",))
     return best[1:] if best else None
 
 
@@ -189,8 +195,8 @@ def _repair_once(token: str) -> tuple[str, str] | None:
 def repair_token(token: str) -> tuple[str, tuple[str, ...]]:
     steps: list[str] = []
     while len(steps) < MAX_LAYERS and (got := _repair_once(token)):
-        token, step = got
-        steps.append(step)
+        token, more = got
+        steps += more
     return token, tuple(steps)
 
 

@@ -48,34 +48,32 @@ def shingles(tokens: Column, n: int) -> Column:
     )
 
 
-def classes(df: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
-    """``id, cls, n, sketch, grams, listed, short`` per distinct key with enough words (checkpointed).
+def classes(df: DataFrame, key: str, text: str, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(``id, cls`` per distinct key with enough words, ``cls, n, sketch, grams, listed, short`` per class).
 
     ``cls`` is a digest of the whole set: equal sets, and only they, share it.
+    Both are checkpointed; the sets are shuffled once, to keep one of each class.
     """
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where(
         F.col("id").isNotNull() & F.col("t").isNotNull()
     )
-    tokens = rows.dropDuplicates(["id"]).select("id", words(F.col("t")).alias("w")).where(
-        F.size("w") >= max(n, min_words)
-    )
+    tokens = rows.select("id", words(F.col("t")).alias("w")).where(F.size("w") >= max(n, min_words))
     short = (F.size("w") < SHORT) if min_words < SURE else F.lit(False)
-    grams = tokens.select(
-        "id", shingles(F.col("w"), n).alias("grams"), shingles(F.col("w"), max(n, LISTED)).alias("long"), short.alias("short")
-    )
-    return cut(
-        grams.select(
-            "id",
-            F.unhex(
-                F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)])
-            ).alias("cls"),
-            F.size("grams").alias("n"),
-            F.slice("grams", 1, SKETCH).alias("sketch"),
-            "grams",
-            F.slice("long", 1, LIST_SKETCH).alias("listed"),
-            "short",
-        )
+    digest = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)]))
+    sets = tokens.select("id", "w", shingles(F.col("w"), n).alias("grams"), short.alias("short")).select(
+        "id", "w", "grams", "short", digest.alias("cls")
+    )
+    # Deliveries of a key agree in their text; if they did not, the least digest would stand.
+    ids = cut(sets.select("id", "cls").groupBy("id").agg(F.min("cls").alias("cls")))
+    reps = sets.select(
+        "cls",
+        F.size("grams").alias("n"),
+        F.slice("grams", 1, SKETCH).alias("sketch"),
+        "grams",
+        F.slice(shingles(F.col("w"), max(n, LISTED)), 1, LIST_SKETCH).alias("listed"),
+        "short",
     )
+    return ids, cut(reps.dropDuplicates(["cls"]))
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
@@ -109,31 +107,29 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, ["v", "blk"]).where(close).select("a", "b").distinct()
 
 
-def links(members: DataFrame, threshold: float) -> DataFrame:
+def _both(pairs: DataFrame, reps: DataFrame, column: str) -> DataFrame:
+    """``a, b, x, y`` with ``column`` of both classes: one pass over the classes, then a meeting per pair."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
+    brought = sides.join(reps.select("cls", F.col(column).alias("c")), "cls")
+    side = lambda k: F.max(F.when(F.col("cls") == F.col(k), F.col("c")))
+    return brought.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
+
+
+def links(reps: DataFrame, threshold: float) -> DataFrame:
     """``a, b, similarity``: every pair of classes with exact Jaccard at the threshold."""
-    # One row per class; equal classes have equal content, so any row will do.
-    reps = members.drop("id").dropDuplicates(["cls"])
-    small = reps.select("cls", "sketch")
-    met = candidates(reps, threshold)
-    with_sketch = met.join(small.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(
-        small.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b"
-    )
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
-    in_both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
+    union = F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH)
+    in_both = F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("u")))
     k = F.size("u")
     likely = (
-        with_sketch.withColumn("u", union)
+        _both(candidates(reps, threshold), reps, "sketch")
+        .withColumn("u", union)
         .where(in_both >= threshold * k - SIGMAS * F.sqrt(k * threshold * (1 - threshold)))
         .select("a", "b")
     )
-    full = reps.select("cls", "grams")
-    sets = likely.join(full.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(
-        full.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b"
-    )
-    shared = F.size(F.array_intersect("ga", "gb"))
     return (
-        sets.withColumn("shared", shared)
-        .withColumn("union", F.size("ga") + F.size("gb") - F.col("shared"))
+        _both(likely, reps, "grams")
+        .withColumn("shared", F.size(F.array_intersect("x", "y")))
+        .withColumn("union", F.size("x") + F.size("y") - F.col("shared"))
         .where(F.col("shared") >= F.col("union") * F.lit(threshold) - 1e-9)
         .select("a", "b", (F.col("shared") / F.col("union")).alias("similarity"))
     )
@@ -148,10 +144,9 @@ def near_duplicate_pairs(
     than ``max(n, min_words)`` words, take part in nothing. Expands classes into
     their members, so use ``near_duplicate_groups`` where copies abound.
     """
-    members = classes(df, key, text, n, min_words)
-    ids = members.select("id", "cls")
+    ids, reps = classes(df, key, text, n, min_words)
     across = (
-        links(members, threshold)
+        links(reps, threshold)
         .join(ids.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a")
         .join(ids.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
         .select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
@@ -212,9 +207,8 @@ def near_duplicate_groups(
     one; copies of a text share its class and are not expanded into pairs.
     Treats nulls and repeats as ``near_duplicate_pairs`` does.
     """
-    members = classes(df, key, text, n, min_words)
-    ids = members.select("id", "cls")
-    linked = cut(links(members, threshold).select("a", "b"))
+    ids, reps = classes(df, key, text, n, min_words)
+    linked = cut(links(reps, threshold).select("a", "b"))
     degree = (
         linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     )

@@ -1,4 +1,4 @@
-"""spark-submit entry points: parse, index, search, ask, evaluate."""
+"""spark-submit entry points: resolve, parse, index, search, ask, evaluate."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from filigree.api import Service
-from filigree.sources import filings, index_store
+from filigree.operators import harness
+from filigree.sources import cases, filings, index_store
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -21,6 +22,13 @@ def main(argv: list[str] | None = None) -> int:
         for n in names:
             p.add_argument(n)
     parse.add_argument("--ticker", action="append")
+    resolve = sub.add_parser("resolve", help="tickers to company numbers")
+    resolve.add_argument("directory")
+    resolve.add_argument("ticker", nargs="+")
+    suite = sub.add_parser("evaluate", help="run a folder of cases; exit 1 if one fails")
+    for n in ("cases", "chunks", "entities"):
+        suite.add_argument(n)
+    suite.add_argument("--report")
     for name in ("search", "ask"):
         p = sub.add_parser(name)
         p.add_argument("chunks")
@@ -46,6 +54,15 @@ def main(argv: list[str] | None = None) -> int:
         sources = chunks.select(F.col("source_path").alias("path"), F.col("source_sha256").alias("sha256"))
         print(index_store.build_index(chunks, spark.read.parquet(a.entities), sources, a.index))
         return 0
+    if a.command == "resolve":
+        asked = spark.createDataFrame([(t,) for t in a.ticker], "ticker string")
+        filings.resolve(asked, filings.read_directory(spark, a.directory)).show(truncate=False)
+        return 0
+    if a.command == "evaluate":
+        found = harness.outcomes(cases.read_cases(spark, a.cases), spark.read.parquet(a.chunks), spark.read.parquet(a.entities))
+        table = harness.report(found, a.report)
+        table.show()
+        return int(not table.where("n_passed < n_cases").isEmpty())
     service = Service(spark.read.parquet(a.chunks), spark.read.parquet(a.entities))
     if a.command == "search":
         service.search(a.query, a.k, a.method, ticker=a.ticker, form=a.form, section_key=a.section_key).show(a.k, truncate=False)

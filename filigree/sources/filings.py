@@ -66,6 +66,34 @@ def missing_forms(companies: DataFrame, found: DataFrame, forms=FORMS, company:
     return wanted.join(found.select(company, "form").distinct(), [company, "form"], "left_anti")
 
 
+def fetch_company(spark: SparkSession, client, ticker: str, cik: str) -> tuple[DataFrame, list[str]]:
+    """(the latest filing of each form with its bytes, ready to store; the forms the company lacks).
+
+    Runs on the driver through ``client`` (``sources.fetch``): the rate limit is per address.
+    """
+    padded = str(int(cik)).zfill(10)
+    body = client.get(f"https://data.sec.gov/submissions/CIK{padded}.json").body.decode("utf-8")
+    wrapper = T.StructType([T.StructField("filings", T.StructType([T.StructField("recent", HISTORY)]))])
+    parsed = spark.createDataFrame([(padded, body)], "cik string, body string").select(
+        "cik", F.from_json("body", wrapper)["filings"]["recent"].alias("history")
+    )
+    rows, names = [], ["cik", "form", "filing_date", "report_date", "accession_number", "primary_document"]
+    for r in latest_per_form(history_rows(parsed)).select(*names).collect():  # one row a form
+        plain = r["accession_number"].replace("-", "")
+        url = f"https://www.sec.gov/Archives/edgar/data/{int(cik)}/{plain}/{r['primary_document']}"
+        stored = f"{ticker.upper()}/{r['form']}_{r['filing_date']}_{plain}/{r['primary_document']}"
+        rows.append((ticker.upper(), *[r[n] for n in names], url, stored, bytearray(client.get(url).body)))
+    schema = "ticker string, " + ", ".join(f"{n} string" for n in names) + ", source_url string, stored_filename string, content binary"
+    return spark.createDataFrame(rows, schema), [f for f in FORMS if f not in {r[2] for r in rows}]
+
+
+def store_facts(spark: SparkSession, client, ticker: str, cik: str, path: str) -> None:
+    """Company facts as received, in a table of their own, apart from the narrative."""
+    url = f"https://data.sec.gov/api/xbrl/companyfacts/CIK{str(int(cik)).zfill(10)}.json"
+    row = [(ticker.upper(), url, bytearray(client.get(url).body))]
+    store_documents(spark.createDataFrame(row, "ticker string, source_url string, content binary"), path)
+
+
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.htm*") -> DataFrame:
     """``source_path, content, size_bytes, sha256`` of stored documents, bytes untouched."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -156,6 +184,16 @@ def write_chunks(records: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def write_chunks_json(records: DataFrame, path: str) -> None:
+    """The same records as JSON lines, their fields in a fixed order."""
+    rows = records.select(*CHUNK_FIELDS).repartition("accession_number").sortWithinPartitions("accession_number", "chunk_order")
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    manifest.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     """Chunk records of JSON lines, blank lines skipped, with ``record_no`` in (path, order)."""
     types = {"chunk_order": "int", "n_blocks": "int", "char_start": "int", "char_end": "int", "oversized": "boolean"}

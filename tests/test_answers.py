@@ -101,3 +101,23 @@ def test_service(chunks, entities):
     for bad in (("", 3), ("  ", 3), ("x", 0), ("x", 51), ("x" * 2001, 3)):
         with pytest.raises(InvalidRequest):
             s.search(*bad)
+
+
+def test_suite(spark, chunks, entities):
+    from filigree.operators import harness
+    from filigree.sources.cases import CASE
+
+    fields = [f.split()[0] for f in CASE.split(", ")]
+    rows = [
+        {"id": "c1", "type": "correctness", "question": "What does Acme build?", "expected_facts": ["small ROCKETS"]},
+        {"id": "c2", "type": "correctness", "question": "What does Acme build?", "expected_facts": ["submarines"]},
+        {"id": "r1", "type": "refusal", "question": "EMP?", "category": "x", "expected_reason": "retrieval_empty"},
+        {"id": "b1", "type": "robustness", "questions": ["Acme rockets?", "rockets of Acme"], "expected_refused": False},
+        {"id": "f1", "type": "filter", "query": "launch", "expected_form": "10-Q"},
+        {"id": "f2", "type": "filter", "query": "launch", "expected_form": "20-F"},
+    ]
+    cases = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], CASE)
+    out = harness.outcomes(cases, chunks, entities, k=3)
+    passed = {r.case_id: r.ok for r in out.groupBy("case_id").agg(F.bool_and("ok").alias("ok")).collect()}
+    assert passed == {"c1": True, "c2": False, "r1": True, "b1": True, "f1": True, "f2": False}
+    assert {r.type: (r.n_cases, r.n_passed) for r in harness.report(out).collect()}["filter"] == (2, 1)

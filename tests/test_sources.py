@@ -132,3 +132,27 @@ def test_streaming_ingest(spark, tmp_path):
     q = arrivals(spark.readStream.schema("ts timestamp").parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("arrivals").collect()) == [1, 2]
+
+
+def test_fetch_company_and_json_sinks(spark, tmp_path):
+    history = {"filings": {"recent": {"form": ["10-K/A", "10-K", "8-K"], "filingDate": ["3", "2", "1"], "reportDate": ["", "r", ""], "accessionNumber": ["0-3", "0-2", "0-1"], "primaryDocument": ["a", "b.htm", "c"]}}}
+    body = b"<p>Item 1. Business</p><p>Words.</p>"
+    pages = {
+        "https://data.sec.gov/submissions/CIK0000000042.json": json.dumps(history).encode(),
+        "https://www.sec.gov/Archives/edgar/data/42/02/b.htm": body,
+        "https://data.sec.gov/api/xbrl/companyfacts/CIK0000000042.json": b'{"entityName": "Acme"}',
+    }
+    c = Client(lambda url, headers: Response(pages[url], 200, {}), UA, None, RateLimiter(8, lambda: 0.0, lambda s: None))
+    df, missing = filings.fetch_company(spark, c, "acm", "42")
+    row = df.first()
+    assert missing == ["10-Q"] and bytes(row.content) == body and row.accession_number == "0-2" and df.count() == 1
+    filings.store_documents(df, str(tmp_path / "store"))
+    filings.store_facts(spark, c, "acm", "42", str(tmp_path / "facts"))
+    assert bytes(spark.read.parquet(str(tmp_path / "facts")).first().content) == b'{"entityName": "Acme"}'
+    records, manifest = filings.parse_filings(spark.read.parquet(str(tmp_path / "store")))
+    filings.write_chunks_json(records, str(tmp_path / "chunks"))
+    filings.write_manifest(manifest, str(tmp_path / "manifest"))
+    assert filings.read_chunks_json(spark, str(tmp_path / "chunks")).first().section_key == "item_1"
+    assert spark.read.json(str(tmp_path / "manifest")).first().status == "ok"
+    filings.write_chunks(records, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).first().form == "10-K"

@@ -81,7 +81,8 @@ def join_blocks(blocks: Column, include_tables: bool) -> Column:
 def windows(text: Column, size: int = WINDOW_CHARS, stride: int = WINDOW_STRIDE) -> Column:
     """Overlapping slices of ``size`` at multiples of ``stride``; the last one reaches the end."""
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(stride))).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * stride + 1, F.lit(size)))
+    slices = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * stride + 1, F.lit(size)))
+    return F.when(text.isNotNull(), slices)
 
 
 def enrich_header(ticker: Column, entity: Column, form: Column, filed: Column, period: Column, section: Column) -> Column:

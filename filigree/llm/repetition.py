@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ WORD = re.compile(r"[^\W_]+")
 N = 5
 #: Share of repeated sequences at which a line, and a document, counts as repetitive.
 SHARE = 0.30
+#: Characters that the kernel judges together.
+AT_ONCE = 20_000_000
 #: Endings of a prose line, and phrases of page furniture.
 ENDINGS = tuple(".!?…。！？:;\"”’'»)]")
 FURNITURE = (
@@ -126,11 +129,15 @@ def line_first(df: DataFrame, key: str, text: str = "text", max_loss: float = 0.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                got = judge(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *[pa.array(got[c], t) for c, t in COLUMNS.items()]], names=["id", *COLUMNS]
-                )
+            # Very long texts: judge only so many characters at once.
+            chars = np.cumsum(np.asarray(pc.utf8_length(b.column(1)), np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(chars // AT_ONCE)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    got = judge(b.column(1).slice(lo, hi - lo).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(lo, hi - lo), *[pa.array(got[c], t) for c, t in COLUMNS.items()]], names=["id", *COLUMNS]
+                    )
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t is not null")
     judged = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} int" for c in COLUMNS))

@@ -128,7 +128,8 @@ def brute_share(text):
     return (len(g) - len(set(g)), len(g))
 
 
-def test_repetition_matches_brute_force(spark):
+def test_repetition_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "AT_ONCE", 5000)
     r = random.Random(8)
     vocabulary = [f"t{i}" for i in range(12)]
     docs = []

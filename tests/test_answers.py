@@ -66,7 +66,7 @@ def test_claims_need_a_chunk_retrieved_for_the_question(spark, chunks):
 def test_metrics(spark):
     results = spark.createDataFrame([("fused", "q1", "a", 1), ("fused", "q2", "b", 7), ("bm25", "q1", "x", 1), ("bm25", "q2", "b", 2)], "method string, qid string, doc string, rank int")
     gold = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "c")], "qid string, doc string")
-    hits = E.first_hits(results, gold)
+    hits = E.first_hits(results, gold, ("fused", "bm25"))
     m = {r.method: r for r in E.retrieval_metrics(hits).collect()}
     assert m["fused"].recall_at_5 == pytest.approx(1 / 3) and m["fused"].recall_at_10 == pytest.approx(2 / 3)
     assert m["fused"].mrr == pytest.approx((1 + 1 / 7) / 3)

@@ -264,7 +264,7 @@ def similar_vectors(
     count once. Equal cosines go by id. Vectors that are equal to a unit of
     1/32,000 are one class and near each other with cosine 1; each vector's own
     class comes first, by its least ``k + 1`` members. An empty table gives an
-    empty result. ``m`` lists per vector found 0.9999 of the true neighbours
+    empty result. ``m`` = 4 lists per vector found 0.9998 of the true neighbours
     on 130,000 test vectors.
     """
     edges = similar_classes(df, key, vector, k, min_cosine, m)

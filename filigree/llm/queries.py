@@ -39,9 +39,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_traced(spark: SparkSession, d: str) -> DataFrame:
-    """Each window's similar windows with the chunks both come from."""
+    """Every usable window's five most similar windows, however far, with the chunks both come from."""
     windows = table(spark, d, "index_windows")
-    near = vectors.similar_vectors(windows, "window_id", "embedding")
+    near = vectors.similar_vectors(windows, "window_id", "embedding", min_cosine=None, m=3)
     record = windows.where("window_id is not null").groupBy("window_id").agg(F.min("window_map").alias("record_no"))
     chunk = table(spark, d, "chunks").where("record_no is not null").groupBy("record_no").agg(F.min("chunk_id").alias("chunk_id"))
     origin = record.join(chunk, "record_no", "left").select("window_id", "chunk_id")

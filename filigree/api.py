@@ -35,7 +35,7 @@ class Service:
     def search(self, query: str, k: int = 8, method: str = "fused", **filters: str) -> DataFrame:
         _checked(query, k, MAX_K_SEARCH)
         asked = self.spark.createDataFrame([(0, query)], "qid long, text string")
-        return search(self.chunks, asked, k=k, method=method, filters={c: v for c, v in filters.items() if v is not None})
+        return search(self.chunks, asked, k=k, method=method, filters={c: v for c, v in filters.items() if v is not None}, entities=self.entities)
 
     def ask(self, question: str, k: int = 8) -> DataFrame:
         _checked(question, k, MAX_K_ASK)

@@ -131,7 +131,7 @@ def answer(questions: DataFrame, chunks: DataFrame, entities: DataFrame, drafter
     drafter = drafter or ExtractiveDrafter()
     scoped = scope(questions, entities)
     owner = chunks.select(F.col("chunk_id").alias("doc"), F.upper("ticker").alias("t")).distinct()
-    found = search(chunks, questions, k=10 * k)
+    found = search(chunks, questions, k=10 * k, entities=entities)
     inside = found.join(scoped, "qid").join(owner, "doc", "left").where(F.col("ticker").isNull() | (F.col("t") == F.upper("ticker")))
     best = Window.partitionBy("qid").orderBy("rank")
     kept = inside.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)

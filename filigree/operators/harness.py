@@ -52,7 +52,7 @@ def outcomes(cases: DataFrame, chunks: DataFrame, entities: DataFrame, drafter:
     for row in c.where("type = 'filter'").collect():
         wanted = {SCOPES[f]: row[f] for f in SCOPES if row[f]}
         one = cases.sparkSession.createDataFrame([(row["case_id"], row["query"])], "qid string, text string")
-        hits = search(chunks, one, k=row["k"] or k, filters=wanted).select(F.col("qid").alias("case_id"), F.col("doc").alias("chunk_id"))
+        hits = search(chunks, one, k=row["k"] or k, filters=wanted, entities=entities).select(F.col("qid").alias("case_id"), F.col("doc").alias("chunk_id"))
         where = chunks.select("chunk_id", "ticker", "form", "section_key").dropDuplicates(["chunk_id"])
         case = cases.sparkSession.createDataFrame(
             [(row["case_id"], *[row[f] for f in SCOPES])], "case_id string, expected_ticker string, expected_form string, expected_section_key string"

@@ -182,6 +182,12 @@ def hybrid_topk(spark, d):
     return _search(spark, d)
 
 
+@query
+def hybrid_topk_enriched(spark, d):
+    """Over enriched texts and their best windows, as the service searches; ``hybrid_topk`` is the bare text that its SQL states."""
+    return _search(spark, d, entities=table(spark, d, "entities"))
+
+
 @query
 def hybrid_topk_scoped(spark, d):
     return _search(spark, d, filters={"form": "10-q"}, method="bm25")

@@ -197,15 +197,33 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _stubs(df: DataFrame, key: str, text: str, least: int, ids: DataFrame) -> DataFrame:
+    """``id, root`` of the keys that have no class: one root per list of words, a null text's or empty list's own.
+
+    A root is tagged, so that no digest of a set is taken for one.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null")
+    w = rows.select("id", words(F.col("t")).alias("w"))
+    few = w.where(F.coalesce(F.size("w") < least, F.lit(True)))
+    said = F.concat(F.lit("w"), F.sha2(F.array_join("w", " "), 256))
+    alone = F.concat(F.lit("k"), F.col("id").cast("string"))
+    named = few.select("id", F.when(F.coalesce(F.size("w") > 0, F.lit(False)), said).otherwise(alone).alias("root"))
+    # Deliveries of a key that differ: words stand before none, the least digest first.
+    one = named.groupBy("id").agg(F.min(F.when(F.col("root").startswith("w"), F.col("root"))).alias("w"), F.min("root").alias("k"))
+    return one.join(ids, "id", "left_anti").select("id", F.encode(F.coalesce("w", "k"), "UTF-8").alias("root"))
+
+
 def near_duplicate_groups(
     df: DataFrame, key: str, text: str = "text", n: int = 5, threshold: float = 0.8, min_words: int = 1
 ) -> DataFrame:
-    """One row per distinct key with enough words: ``key, group_id, n_links, group_size``.
+    """One row per distinct key: ``key, group_id, n_links, group_size``.
 
     ``group_id`` is the least key of the connected group (the key itself where
     nothing is alike); ``n_links`` counts the *different* texts linked to this
-    one; copies of a text share its class and are not expanded into pairs.
-    Treats nulls and repeats as ``near_duplicate_pairs`` does.
+    one; copies of a text share its class and are not expanded into pairs. A
+    text with fewer than ``max(n, min_words)`` words groups with those of the same
+    words in the same order; a text without a word, or null, is a group of its
+    own. Null keys have no row; rows that repeat a key count once.
     """
     ids, reps = classes(df, key, text, n, min_words)
     linked = cut(links(reps, threshold).select("a", "b"))
@@ -216,5 +234,7 @@ def near_duplicate_groups(
     placed = ids.join(roots, "cls", "left").join(degree, "cls", "left").select(
         "id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    stubs = _stubs(df, key, text, max(n, min_words), ids)
+    placed = placed.unionByName(stubs.withColumn("n_links", F.lit(0).cast("bigint")))
     groups = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     return placed.join(groups, "root").select(F.col("id").alias(key), "group_id", "n_links", "group_size")

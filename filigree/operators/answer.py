@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.functions.text import normalize, quote_verdict
 from filigree.operators.search import search
+from filigree.session import cut
 
 # Corporate suffixes that name nobody, and the three refusals.
 SUFFIXES = ("inc", "corp", "corporation", "company", "co", "ltd", "limited", "plc", "llc", "holdings", "group", "the", "and", "of")
@@ -129,14 +130,10 @@ def answer(questions: DataFrame, chunks: DataFrame, entities: DataFrame, drafter
     nothing was retrieved, or the drafter declines, the answer is a refusal.
     """
     drafter = drafter or ExtractiveDrafter()
-    scoped = scope(questions, entities)
-    owner = chunks.select(F.col("chunk_id").alias("doc"), F.upper("ticker").alias("t")).distinct()
-    found = search(chunks, questions, k=10 * k, entities=entities)
-    inside = found.join(scoped, "qid").join(owner, "doc", "left").where(F.col("ticker").isNull() | (F.col("t") == F.upper("ticker")))
-    best = Window.partitionBy("qid").orderBy("rank")
-    kept = inside.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    scoped = cut(scope(questions, entities))
+    kept = search(chunks, questions.select("qid", "text").join(scoped, "qid"), k=k, entities=entities, within="ticker")
     record = chunks.dropDuplicates(["chunk_id"]).drop("qid")
-    retrieved = kept.select("qid", F.col("doc").alias("chunk_id"), F.col("r").alias("rank")).join(record, "chunk_id")
+    retrieved = kept.select("qid", F.col("doc").alias("chunk_id"), "rank").join(record, "chunk_id")
     drafted = drafter.draft(retrieved)
     declined = drafted.where(~F.coalesce("answerable", F.lit(False))).groupBy("qid").agg(
         F.coalesce(F.min("refusal_reason"), F.lit(REFUSALS[1])).alias("why")

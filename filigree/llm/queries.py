@@ -60,7 +60,7 @@ def p3_traced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return idealpoint.leaders(table(spark, d, "retrieved_chunks"), "qid", "chunk_id", SCORES, scale="places")
+    return idealpoint.leaders(table(spark, d, "retrieved_chunks"), "qid", "chunk_id", SCORES, **idealpoint.EQUAL_PLACES)
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -106,14 +106,22 @@ def p8_removal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_lines(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.line_first(table(spark, d, "documents"), "doc_id")
+    rows = repetition.line_first(table(spark, d, "documents"), "doc_id")
+    return rows.withColumns({c: F.round(c, 9) for c in ("repeated_share", "lost_share")})
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Each document without its failing lines."""
+    rows = repetition.line_first(table(spark, d, "documents"), "doc_id", keep=True)
+    return rows.select("doc_id", "kept_text", "words_kept", "rejected")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Of the documents line-first cleaning finds repetitive, those over the share in all."""
-    candidates = p9_lines(spark, d).where("repetitive")
+    """Documents rejected for what removing boilerplate lines costs them; of these the exact share decides."""
+    least = repetition.least_loss(0.30, 50)
+    judged = repetition.line_first(table(spark, d, "documents"), "doc_id", max_loss=least - 1e-9, rules=("boilerplate",))
     exact = (F.col("n_words") >= 50) & (F.col("n_repeated") * 10 >= F.col("n_sequences") * 3)
-    return candidates.where(exact).select("doc_id").distinct()
+    return judged.where(F.col("rejected") & exact).select("doc_id").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -138,5 +146,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p8_removal,
         p9_found,
         p9_lines,
+        p9_cleaned,
     )
 }

@@ -2,12 +2,15 @@
 
 Each line is judged by rules, failing lines are removed, and a document that
 loses too much of its text is rejected. The rules: a line of prose ends in
-punctuation; navigation is short, or mostly separators or known phrases;
-boilerplate repeats what the document already said. For the last rule each
-five-word sequence belongs to the line in which it ends, and counts as repeated
-if the document has it before that place. The lines' repeated sequences then add
-up to the document's, so a document with a share of at least s has a line
-with at least that share: judging lines misses none.
+punctuation; navigation is short or mostly separators; boilerplate repeats what
+the document already said. For the last rule each five-word sequence belongs to
+the line in which it ends, and counts as repeated if the document has it before
+that place; a line fails where ``LINE_SHARE`` of its sequences are repeated.
+
+A document of which a share s is repeated loses, to that rule alone, at least
+(s - LINE_SHARE) / (1 - LINE_SHARE) of its sequences: the lines that stay hold
+fewer than LINE_SHARE repeated ones each. ``least_loss`` states this in words,
+so rejecting by loss misses no document at or above a share.
 
 One Arrow kernel per input partition; nothing is shuffled.
 """
@@ -25,16 +28,13 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 N = 5
-#: Share of repeated sequences at which a line, and a document, counts as repetitive.
-SHARE = 0.30
+#: Share of repeated sequences at which a line is boilerplate.
+LINE_SHARE = 0.15
 #: Characters that the kernel judges together.
 AT_ONCE = 20_000_000
-#: Endings of a prose line, and phrases of page furniture.
+RULES = ("punctuation", "navigation", "boilerplate")
+#: Endings of a prose line.
 ENDINGS = tuple(".!?…。！？:;\"”’'»)]")
-FURNITURE = (
-    "all rights reserved", "back to top", "click here", "cookie policy", "follow us", "javascript", "log in", "next page",
-    "previous page", "privacy policy", "read more", "sign in", "sign up", "table of contents", "terms of use",
-)
 SEPARATORS = re.compile(r"[|»›>•·/\\]")
 
 COLUMNS = {
@@ -43,19 +43,21 @@ COLUMNS = {
 }
 
 
+def least_loss(share: float, n_words: int) -> float:
+    """The share of words that a document of ``n_words`` or more words, repeated to ``share``, loses at least."""
+    return (share - LINE_SHARE) / (1 - LINE_SHARE) * (n_words - N + 1) / n_words
+
+
 def _ends_badly(line: str) -> bool:
     return not line.rstrip().endswith(ENDINGS)
 
 
 def _navigation(line: str, n_words: int) -> bool:
-    low = line.lower()
-    return n_words < 3 or len(SEPARATORS.findall(line)) * 2 >= n_words or (
-        n_words < 20 and any(p in low for p in FURNITURE)
-    )
+    return n_words < 3 or len(SEPARATORS.findall(line)) * 2 >= n_words
 
 
-def judge(texts: list[str]) -> dict[str, np.ndarray]:
-    """The columns of ``COLUMNS`` for each text, computed for all of them at once."""
+def judge(texts: list[str], rules: tuple[str, ...] = RULES, keep: bool = False) -> dict[str, np.ndarray | list[str]]:
+    """The columns of ``COLUMNS`` for each text, computed for all of them at once, and with ``keep`` its ``kept_text``."""
     vocabulary: dict[str, int] = {}
     number = vocabulary.setdefault
     ids: list[int] = []
@@ -63,6 +65,7 @@ def judge(texts: list[str]) -> dict[str, np.ndarray]:
     line_doc: list[int] = []
     bad_end: list[bool] = []
     navigation: list[bool] = []
+    lines: list[str] = []
     for d, text in enumerate(texts):
         for line in text.split("\n"):
             w = WORD.findall(line.lower())
@@ -72,6 +75,8 @@ def judge(texts: list[str]) -> dict[str, np.ndarray]:
                 line_doc.append(d)
                 bad_end.append(_ends_badly(line))
                 navigation.append(_navigation(line, len(w)))
+                if keep:
+                    lines.append(line)
     n_docs, n_lines = len(texts), len(line_words)
     lw, ld = np.asarray(line_words, np.int64), np.asarray(line_doc, np.int64)
     doc_words = np.bincount(ld, weights=lw, minlength=n_docs).astype(np.int64)
@@ -96,36 +101,54 @@ def judge(texts: list[str]) -> dict[str, np.ndarray]:
         at = line_of[whole + N - 1]
         sequences = np.bincount(at, minlength=n_lines)
         repeated = np.bincount(at, weights=again, minlength=n_lines).astype(np.int64)
-    boilerplate = (repeated > 0) & (repeated >= SHARE * sequences - 1e-9)
-    fails = boilerplate | np.asarray(bad_end, bool) | np.asarray(navigation, bool)
+    verdicts = {
+        "punctuation": np.asarray(bad_end, bool),
+        "navigation": np.asarray(navigation, bool),
+        "boilerplate": (repeated > 0) & (repeated >= LINE_SHARE * sequences - 1e-9),
+    }
+    fails = np.zeros(n_lines, bool)
+    for r in rules:
+        fails |= verdicts[r]
 
     def per_doc(x: np.ndarray) -> np.ndarray:
         return np.bincount(ld, weights=x, minlength=n_docs).astype(np.int32)
 
-    one = np.ones(n_lines)
-    return {
+    out = {
         "n_words": doc_words.astype(np.int32),
         "n_sequences": per_doc(sequences),
         "n_repeated": per_doc(repeated),
-        "n_lines": per_doc(one),
-        "n_no_punctuation": per_doc(np.asarray(bad_end, float)),
-        "n_navigation": per_doc(np.asarray(navigation, float)),
-        "n_boilerplate": per_doc(boilerplate),
+        "n_lines": per_doc(np.ones(n_lines)),
+        "n_no_punctuation": per_doc(verdicts["punctuation"].astype(float)),
+        "n_navigation": per_doc(verdicts["navigation"].astype(float)),
+        "n_boilerplate": per_doc(verdicts["boilerplate"].astype(float)),
         "words_kept": per_doc(np.where(fails, 0, lw)),
     }
+    if keep:
+        kept: list[list[str]] = [[] for _ in texts]
+        for n in np.flatnonzero(~fails).tolist():
+            kept[line_doc[n]].append(lines[n])
+        out["kept_text"] = ["\n".join(k) for k in kept]
+    return out
 
 
-def line_first(df: DataFrame, key: str, text: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """One row per row with a text: ``key``, the counts of ``COLUMNS``, and verdicts.
+def line_first(
+    df: DataFrame, key: str, text: str = "text", max_loss: float = 0.5, rules: tuple[str, ...] = RULES, keep: bool = False
+) -> DataFrame:
+    """One row per row with a text: ``key``, the counts of ``COLUMNS``, shares and the verdict.
 
     ``repeated_share`` is the share of five-word sequences that repeat an earlier
     one of the same text (0 below five words); ``lost_share`` the share of words
-    in lines that failed a rule; ``rejected`` says that it exceeds ``max_loss``;
-    ``repetitive`` that some line failed the boilerplate rule. A word is a run of
+    in lines that failed one of ``rules``; ``rejected`` says that it reaches
+    ``max_loss``. With ``keep`` the column ``kept_text`` holds the lines that
+    passed, of rejected texts too; lines without a word go. A word is a run of
     Unicode letters and digits, in lower case. Null texts give no row; empty ones
-    a row of zeros. Repeated rows each count; other columns are not carried.
+    a row of zeros, not rejected. Repeated rows each count; other columns are not
+    carried.
     """
+    if unknown := set(rules) - set(RULES):
+        raise ValueError(f"unknown rules {sorted(unknown)}")
     kind = dict(df.select(F.col(key).alias("id")).dtypes)["id"]
+    types = {**COLUMNS, **({"kept_text": pa.string()} if keep else {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,20 +157,20 @@ def line_first(df: DataFrame, key: str, text: str = "text", max_loss: float = 0.
             cuts = [0, *(np.flatnonzero(np.diff(chars // AT_ONCE)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
-                    got = judge(b.column(1).slice(lo, hi - lo).to_pylist())
+                    got = judge(b.column(1).slice(lo, hi - lo).to_pylist(), rules, keep)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(lo, hi - lo), *[pa.array(got[c], t) for c, t in COLUMNS.items()]], names=["id", *COLUMNS]
+                        [b.column(0).slice(lo, hi - lo), *[pa.array(got[c], t) for c, t in types.items()]], names=["id", *types]
                     )
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t is not null")
-    judged = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} int" for c in COLUMNS))
+    schema = f"id {kind}, " + ", ".join(f"{c} int" for c in COLUMNS) + ", kept_text string" * keep
+    judged = rows.mapInArrow(run, schema)
     share = F.when(F.col("n_sequences") > 0, F.col("n_repeated") / F.col("n_sequences")).otherwise(F.lit(0.0))
-    lost = F.when(F.col("n_words") > 0, 1 - F.col("words_kept") / F.col("n_words")).otherwise(F.lit(0.0))
+    lost = F.when(F.col("n_words") > 0, (F.col("n_words") - F.col("words_kept")) / F.col("n_words")).otherwise(F.lit(0.0))
     return judged.select(
         F.col("id").alias(key),
-        *COLUMNS,
+        *types,
         share.alias("repeated_share"),
         lost.alias("lost_share"),
-        (lost > max_loss).alias("rejected"),
-        (F.col("n_boilerplate") > 0).alias("repetitive"),
+        ((lost >= max_loss) & (F.col("n_words") > 0)).alias("rejected"),
     )

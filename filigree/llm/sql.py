@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from filigree.plans.checks import SPACE
+
 _ONCE = "SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id"
 
 P1_FOUND = "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 4500"
@@ -134,6 +136,55 @@ g AS (
 SELECT doc_id FROM g GROUP BY doc_id HAVING 10 * (count(*) - count(DISTINCT gram)) >= 3 * count(*)
 """
 
+_LINES = f"""
+WITH l AS (
+  SELECT doc_id, row_no, line, i AS line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS w
+  FROM (SELECT doc_id, row_no, unnest(s) AS line, generate_subscripts(s, 1) AS i
+    FROM (SELECT doc_id, row_number() OVER () AS row_no, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))
+),
+x AS (SELECT doc_id, row_no, line_no, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM l WHERE len(w) > 0),
+g AS (
+  SELECT row_no, line_no, lag(word, 4) OVER o || ' ' || lag(word, 3) OVER o || ' ' || lag(word, 2) OVER o || ' ' || lag(word) OVER o || ' ' || word
+    AS gram, row_number() OVER o AS i
+  FROM x WINDOW o AS (PARTITION BY row_no ORDER BY line_no, j)
+),
+r AS (SELECT row_no, line_no, row_number() OVER (PARTITION BY row_no, gram ORDER BY i) > 1 AS again FROM g WHERE gram IS NOT NULL),
+q AS (SELECT row_no, line_no, count(*) AS sequences, count(*) FILTER (again) AS repeated FROM r GROUP BY 1, 2),
+v AS (
+  SELECT l.*, len(w) AS n, coalesce(sequences, 0) AS sequences, coalesce(repeated, 0) AS repeated,
+    NOT regexp_matches(line, '[.!?…。！？:;"”’''»)\\]]' || replace({SPACE}, ']+', ']*') || '$') AS bad_end,
+    len(w) < 3 OR len(regexp_extract_all(line, '[|»›>•·/\\\\]')) * 2 >= len(w) AS navigation,
+    coalesce(repeated, 0) > 0 AND repeated >= 0.15 * sequences AS boilerplate
+  FROM l LEFT JOIN q USING (row_no, line_no) WHERE len(w) > 0
+),
+d AS (
+  SELECT row_no, sum(n)::INT AS n_words, sum(sequences)::INT AS n_sequences, sum(repeated)::INT AS n_repeated, count(*)::INT AS n_lines,
+    count(*) FILTER (bad_end)::INT AS n_no_punctuation, count(*) FILTER (navigation)::INT AS n_navigation,
+    count(*) FILTER (boilerplate)::INT AS n_boilerplate,
+    coalesce(sum(n) FILTER (NOT (bad_end OR navigation OR boilerplate)), 0)::INT AS words_kept,
+    string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT (bad_end OR navigation OR boilerplate)) AS kept_text
+  FROM v GROUP BY row_no
+),
+e AS (
+  SELECT k.doc_id, coalesce(kept_text, '') AS kept_text, coalesce(n_words, 0) AS n_words, coalesce(n_sequences, 0) AS n_sequences,
+    coalesce(n_repeated, 0) AS n_repeated, coalesce(n_lines, 0) AS n_lines, coalesce(n_no_punctuation, 0) AS n_no_punctuation,
+    coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(words_kept, 0) AS words_kept
+  FROM (SELECT DISTINCT doc_id, row_no FROM l) k LEFT JOIN d USING (row_no)
+)
+"""
+
+P9_LINES = f"""{_LINES}
+SELECT doc_id, n_words, n_sequences, n_repeated, n_lines, n_no_punctuation, n_navigation, n_boilerplate, words_kept,
+  CASE WHEN n_sequences > 0 THEN round(n_repeated / n_sequences, 9) ELSE 0.0 END AS repeated_share,
+  CASE WHEN n_words > 0 THEN round((n_words - words_kept) / n_words, 9) ELSE 0.0 END AS lost_share,
+  n_words > 0 AND (n_words - words_kept) * 2 >= n_words AS rejected
+FROM e
+"""
+
+P9_CLEANED = f"""{_LINES}
+SELECT doc_id, kept_text, words_kept, n_words > 0 AND (n_words - words_kept) * 2 >= n_words AS rejected FROM e
+"""
+
 SQL = {
     "p1_found": P1_FOUND,
     "p2_found": P2_FOUND,
@@ -142,4 +193,6 @@ SQL = {
     "p4_ranking": P4_RANKING,
     "p8_found": P8_FOUND,
     "p9_found": P9_FOUND,
+    "p9_lines": P9_LINES,
+    "p9_cleaned": P9_CLEANED,
 }

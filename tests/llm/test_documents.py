@@ -139,22 +139,27 @@ def test_repetition_matches_brute_force(spark, monkeypatch):
         docs.append((d, "\n".join(lines)))
     docs += [(1000, "a b c d e " * 40), (1001, ""), (1002, "one two"), (1003, "x" * 100_000)]
     df = spark.createDataFrame(docs + [(2000, None), docs[0]], "doc_id long, text string").withColumn("n_words", F.lit("clash")).repartition(3)
-    rows = R.line_first(df, "doc_id").collect()
+    rows = R.line_first(df, "doc_id", keep=True).collect()
     got = {r.doc_id: r for r in rows}
+    lost = {r.doc_id: r.lost_share for r in R.line_first(df, "doc_id", rules=("boilerplate",)).collect()}
     assert len(rows) == len(docs) + 1 and 2000 not in got
     for k, t in docs:
         repeated, total = brute_share(t)
         x = got[k]
         assert (x.n_repeated, x.n_sequences, x.n_words) == (repeated, total, len(words(t)))
-        if total and repeated / total >= R.SHARE:
-            assert x.repetitive
+        of = iter(t.split("\n"))
+        assert all(y in of for y in x.kept_text.split("\n") if y)  # lines of the text, in its order
+        assert len(words(x.kept_text)) == x.words_kept
+        for share in (0.2, 0.3, 0.6):  # no document at a share loses less than is said
+            if total and repeated / total >= share:
+                assert lost[k] >= R.least_loss(share, len(words(t))) - 1e-9
     assert got[1000].rejected and got[1000].repeated_share > 0.9 and got[1001].lost_share == 0.0
 
 
 def test_line_rules(spark):
     text = "A proper sentence that ends as sentences do.\nHome | About | Contact\nno end here at all my friend\nClick here to read on about it.\nA proper sentence that ends as sentences do."
     x = R.line_first(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id").first()
-    assert (x.n_lines, x.n_navigation, x.n_no_punctuation, x.n_boilerplate, x.words_kept) == (5, 2, 2, 1, 8)
+    assert (x.n_lines, x.n_navigation, x.n_no_punctuation, x.n_boilerplate, x.words_kept) == (5, 1, 2, 1, 15)
 
 
 def test_nothing_outside_the_subpackage_imports_it():

@@ -4,11 +4,13 @@ Each criterion is winsorised and vector-normalised within its group; a
 candidate's weighted distances to the best and the worst point decide, by the
 relative closeness ``d_worst / (d_best + d_worst)``.
 
-With ``scale="scores"`` the criteria are the scores themselves and distances
-are Euclidean. With ``scale="places"`` each score is replaced by its place in
-the group, the criteria share one norm and distances are city-block: the
-closeness then orders candidates exactly by the sum of their places, so each
-score has equal say whatever its distribution.
+``EQUAL_PLACES`` is the setting for which closeness orders candidates exactly by
+the sum of their places. The criteria are places, counted from below, so more is
+better; their quantiles 0 and 1 bound them, so none is moved. ``unit_steps`` weighs
+a criterion by its norm, so that one place moves a candidate by the same in every
+criterion. Distances of power 1 along axes that run from worst to best add up to
+the same for every candidate of a group, so closeness falls in proportion to the
+sum of the places.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.operators.ordering import places, row_numbers
+from filigree.operators.ordering import row_numbers, running_sum
+from filigree.session import cut
+
+EQUAL_PLACES = {"scale": "places", "winsor": (0.0, 1.0), "power": 1, "unit_steps": True}
 
 
 def _distinct(df: DataFrame, group: str, item: str, criteria: list[str]) -> DataFrame:
@@ -29,6 +34,25 @@ def _distinct(df: DataFrame, group: str, item: str, criteria: list[str]) -> Data
     return df.groupBy(F.col(group).alias("g"), F.col(item).alias("i")).agg(*usable)
 
 
+def _placed(rows: DataFrame, n: int) -> DataFrame:
+    """``g, i, c0.., p0..``: scores replaced by minus their places, all criteria in one pass.
+
+    A place is 1 plus the number of the group's candidates with a larger value;
+    nulls stand behind all values. Values are counted before they are ordered.
+    """
+    rows = cut(rows)
+    crit = F.posexplode(F.array(*[F.col(f"c{k}") for k in range(n)])).alias("k", "v")
+    counts = rows.select("g", crit).groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sum(counts, ["g", "k"], [F.col("v").desc_nulls_last()], F.col("n"), "upto")
+    place = upto.select(F.col("g").alias("pg"), F.col("k").alias("pk"), F.col("v").alias("pv"), (F.col("upto") - F.col("n") + 1).alias("place"))
+    met = rows.select("g", "i", crit).join(
+        place, F.col("g").eqNullSafe(F.col("pg")) & (F.col("k") == F.col("pk")) & F.col("v").eqNullSafe(F.col("pv"))
+    )
+    return met.groupBy("g", "i").agg(*[F.max(F.when(F.col("k") == k, F.col("place"))).alias(f"p{k}") for k in range(n)]).select(
+        "g", "i", *[(-F.col(f"p{k}")).cast("double").alias(f"c{k}") for k in range(n)], *[f"p{k}" for k in range(n)]
+    )
+
+
 def closeness(
     df: DataFrame,
     group: str,
@@ -37,67 +61,62 @@ def closeness(
     weights: list[float] | None = None,
     winsor: tuple[float, float] = (0.05, 0.95),
     scale: str = "scores",
+    power: int = 2,
+    unit_steps: bool = False,
 ) -> DataFrame:
-    """One row per distinct (group, item) with ``closeness`` in 0..1.
+    """One row per distinct (group, item) with ``closeness`` in 0..1, and with ``scale="places"`` the places ``p0..``.
 
     Repeated rows count once; where they disagree the largest value holds. Null
     and NaN are no evidence: they stand at the worst point of their criterion. A
     criterion without a value in a group, or with one value for all, moves
     nothing; if no criterion separates the candidates all have closeness 0.5.
     Null groups and items are kept as values of their own. An empty table gives
-    an empty result. ``winsor`` are quantiles taken per group by a mergeable
-    sketch, exact below 5,000 candidates and within 0.0001 in rank above.
+    an empty result. ``winsor`` are quantiles taken per group: 0 and 1 exactly,
+    others by a mergeable sketch, exact below 5,000 candidates and within 0.0001
+    in rank above. ``power`` is 2 for Euclidean, 1 for city-block distances;
+    ``unit_steps`` multiplies a weight by its criterion's norm.
     """
     n = len(criteria)
     w = weights or [1.0] * n
     if len(w) != n or any(x < 0 for x in w) or not sum(w):
         raise ValueError("one non-negative weight per criterion, not all zero")
+    if scale not in ("scores", "places"):
+        raise ValueError("scale is 'scores' or 'places'")
     rows = _distinct(df, group, item, criteria)
     cols = [f"c{i}" for i in range(n)]
-    if scale == "places":
-        for c in cols:
-            rows = places(rows, ["g"], c, f"p{c[1:]}")
-        vals = [f"p{i}" for i in range(n)]
-        stats = rows.groupBy(F.col("g").alias("sg")).agg(
-            *[F.min(v).alias(f"best{i}") for i, v in enumerate(vals)],
-            *[F.max(v).alias(f"worst{i}") for i, v in enumerate(vals)],
-            F.sqrt(F.sum(reduce(add, [F.col(v).cast("double") * F.col(v) for v in vals]))).alias("norm"),
-        )
-        rows = rows.join(stats, F.col("g").eqNullSafe(F.col("sg")), "left")
-        to_best = reduce(add, [F.lit(w[i]) * (F.col(v) - F.col(f"best{i}")) for i, v in enumerate(vals)])
-        to_worst = reduce(add, [F.lit(w[i]) * (F.col(f"worst{i}") - F.col(v)) for i, v in enumerate(vals)])
-        near, far = to_best / F.col("norm"), to_worst / F.col("norm")
-        extra = vals
-    elif scale == "scores":
-        bounds = rows.groupBy(F.col("g").alias("bg")).agg(
-            *[F.percentile_approx(c, list(winsor), 10000).alias(f"q{c[1:]}") for c in cols]
-        )
-        rows = rows.join(bounds, F.col("g").eqNullSafe(F.col("bg")), "left").select(
-            "g",
-            "i",
-            *[
-                F.when(F.col(c).isNotNull(), F.least(F.greatest(c, F.col(f"q{c[1:]}")[0]), F.col(f"q{c[1:]}")[1])).alias(c)
-                for c in cols
-            ],
-        )
-        stats = rows.groupBy(F.col("g").alias("sg")).agg(
-            *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm{i}") for i, c in enumerate(cols)],
-            *[F.max(c).alias(f"best{i}") for i, c in enumerate(cols)],
-            *[F.min(c).alias(f"worst{i}") for i, c in enumerate(cols)],
-        )
-        rows = rows.join(stats, F.col("g").eqNullSafe(F.col("sg")), "left")
-
-        def gap(i: int, c: str, to: str):
+    rows = cut(_placed(rows, n) if scale == "places" else rows)  # read three times below
+    extra = [f"p{i}" for i in range(n)] if scale == "places" else []
+
+    def quantile(c: str, q: float):
+        return F.min(c) if q == 0 else F.max(c) if q == 1 else F.percentile_approx(c, q, 10000)
+
+    bounds = rows.groupBy(F.col("g").alias("bg")).agg(
+        *[quantile(c, q).alias(f"{side}{c[1:]}") for c in cols for side, q in zip(("lo", "hi"), winsor)]
+    )
+    rows = rows.join(bounds, F.col("g").eqNullSafe(F.col("bg"))).select(
+        "g",
+        "i",
+        *extra,
+        *[F.when(F.col(c).isNotNull(), F.least(F.greatest(c, f"lo{c[1:]}"), f"hi{c[1:]}")).alias(c) for c in cols],
+    )
+    stats = rows.groupBy(F.col("g").alias("sg")).agg(
+        *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm{i}") for i, c in enumerate(cols)],
+        *[F.max(c).alias(f"best{i}") for i, c in enumerate(cols)],
+        *[F.min(c).alias(f"worst{i}") for i, c in enumerate(cols)],
+    )
+    rows = rows.join(stats, F.col("g").eqNullSafe(F.col("sg")))
+
+    def distance(to: str):
+        def step(i: int, c: str):
             v = F.coalesce(F.col(c), F.col(f"worst{i}"))
-            return F.coalesce(w[i] * (F.col(f"{to}{i}") - v) / F.nullif(F.col(f"norm{i}"), F.lit(0.0)), F.lit(0.0))
+            norm = F.nullif(F.col(f"norm{i}"), F.lit(0.0))
+            weight = F.lit(float(w[i])) * (norm if unit_steps else F.lit(1.0))
+            return F.coalesce(weight * F.abs((F.col(f"{to}{i}") - v) / norm), F.lit(0.0))
 
-        near = F.sqrt(reduce(add, [F.pow(gap(i, c, "best"), 2) for i, c in enumerate(cols)]))
-        far = F.sqrt(reduce(add, [F.pow(gap(i, c, "worst"), 2) for i, c in enumerate(cols)]))
-        extra = []
-    else:
-        raise ValueError("scale is 'scores' or 'places'")
-    near, far = near.alias("near"), far.alias("far")
-    out = rows.select("g", "i", near, far, *extra)
+        total = reduce(add, [F.pow(step(i, c), power) for i, c in enumerate(cols)])
+        return F.pow(total, 1.0 / power)
+
+    out = rows.select("g", "i", *extra, distance("best").alias("near"), distance("worst").alias("far"))
     return out.select(
         F.col("g").alias(group),
         F.col("i").alias(item),

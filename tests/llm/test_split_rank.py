@@ -58,9 +58,23 @@ def frame(spark):
 
 
 def test_places_order_by_their_sum(spark):
-    got = {(r.qid, r.item): (r.p0, r.p1, r.p2, r.closeness) for r in I.closeness(frame(spark), "qid", "item", C, scale="places").collect()}
+    got = {(r.qid, r.item): (r.p0, r.p1, r.p2, r.closeness) for r in I.closeness(frame(spark), "qid", "item", C, **I.EQUAL_PLACES).collect()}
     assert got["q", "a"][:3] == (3, 1, 3) and got["q", "b"][:3] == (1, 2, 1) and got["q", "c"][:3] == (2, 3, 2)
-    assert {r.qid: r.item for r in I.leaders(frame(spark), "qid", "item", C, scale="places").collect()} == {"q": "b", "one": "z", "tie": "x", None: "n"}
+    assert {r.qid: r.item for r in I.leaders(frame(spark), "qid", "item", C, **I.EQUAL_PLACES).collect()} == {"q": "b", "one": "z", "tie": "x", None: "n"}
+
+
+def test_equal_places_order_by_their_sum_in_every_group(spark):
+    r = random.Random(3)
+    rows = [(g, i, *[r.choice([None, float("nan"), float(r.randint(0, 30)), r.random() * 10**c]) for c in range(3)]) for g in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "qid long, item long, s1 double, s2 double, s3 double")
+    got = I.ideal_point_ranking(df, "qid", "item", C, **I.EQUAL_PLACES).collect()
+    for g in range(4):
+        mine = sorted((x for x in got if x.qid == g), key=lambda x: x.place)
+        sums = [x.p0 + x.p1 + x.p2 for x in mine]
+        assert len(mine) == 60 and sums == sorted(sums)
+        for k in range(3):
+            values = {x[1]: x[2 + k] if x[2 + k] is not None and x[2 + k] == x[2 + k] else -1.0 for x in rows if x[0] == g}
+            assert all(x[f"p{k}"] == 1 + sum(v > values[x.item] for v in values.values()) for x in mine)
 
 
 def test_closeness_matches_the_formula(spark):

@@ -2,7 +2,7 @@
 
 Sizes are tokens of a public tokenizer, counted by Arrow workers; texts never
 leave their input partition, only (key, size) rows do. Those are dealt by hash
-into shards of bounded size, each packed by one task: a container is filled
+into shards of about ``SHARD`` pieces, each packed by one task: a container is filled
 greedily with the largest item that fits; then its smallest item gives way to
 two unpacked items that fit the widened gap more tightly, as long as any do.
 """
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filigree.session import cut
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary expects text to be cut: fixed value, published with it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 4096
-#: Items one task packs.
+#: Pieces one task packs.
 SHARD = 50_000
 
 
@@ -126,7 +128,8 @@ def pack(
     not carried. Containers do not span shards, so up to one poorly filled
     container per ``shard`` items is the price of packing in parallel.
     """
-    counted = count_tokens(df, key, text, path).where("n_tokens > 0")
+    # Keys and sizes only, kept so that texts are tokenised once.
+    counted = cut(count_tokens(df, key, text, path).where("n_tokens > 0"))
     pieces = counted.select(
         "id",
         F.xxhash64(F.monotonically_increasing_id()).alias("h"),
@@ -137,8 +140,8 @@ def pack(
             )
         ).alias("piece_no", "size"),
     )
-    # The number of items bounds the shards from above; counting rows reads no text.
-    n = max(1, -(-df.count() // shard))
+    n_pieces = counted.agg(F.sum(F.expr(f"(n_tokens - 1) div {capacity} + 1"))).first()[0] or 0
+    n = max(1, -(-n_pieces // shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("h", "piece_no"), F.lit(n)).cast("int"))
     kind = dict(pieces.dtypes)["id"]
 

@@ -74,28 +74,26 @@ def split_oversized(
             ),
         )
     )
-    rows = cut.select(
-        *keys,
-        "__text",
-        F.size("__cores").alias("n_pieces"),
-        F.col("__starts").alias("__starts"),
-        F.posexplode("__cores").alias("piece_no", "__core"),
-    ).withColumn("__start", F.element_at("__starts", F.col("piece_no") + 1))
     # Of the 64 characters before the stated overlap, what follows their last blank.
-    before = F.expr(
-        f"CASE WHEN piece_no = 0 THEN '' ELSE substring(__text, greatest(__start - {overlap + SLACK}, 0) + 1,"
-        f" least({SLACK}, greatest(__start - {overlap}, 0))) END"
-    )
-    reach = F.when(
-        before.rlike(r"\s\S*$"), F.length(F.regexp_extract(before, r"\s(\S*)$", 1))
-    ).otherwise(F.lit(0))
-    back = F.when(F.col("piece_no") == 0, F.lit(0)).otherwise(
-        F.least(F.lit(overlap), F.col("__start")) + reach
+    def piece(core, i):
+        start = F.element_at("__starts", i + 1)
+        before = F.substring(t, F.greatest(start - (overlap + SLACK), F.lit(0)) + 1, F.least(F.lit(SLACK), F.greatest(start - overlap, F.lit(0))))
+        reach = F.when(before.rlike(r"\s\S*$"), F.length(F.regexp_extract(before, r"\s(\S*)$", 1))).otherwise(F.lit(0))
+        back = F.when(i == 0, F.lit(0)).otherwise(F.least(F.lit(overlap), start) + reach)
+        return F.struct(back.alias("overlap"), (start - back).alias("char_start"), (start + F.length(core)).alias("char_end"))
+
+    # Offsets first, slices next, rows last: the whole text is never copied beside a piece.
+    spans = F.transform("__cores", piece)
+    pieces = F.transform(
+        "__spans",
+        lambda s: F.struct(
+            s["char_start"].alias("char_start"),
+            s["char_end"].alias("char_end"),
+            s["overlap"].alias("overlap"),
+            F.substring(t, s["char_start"] + 1, s["char_end"] - s["char_start"]).alias("piece_text"),
+        ),
     )
-    return (
-        rows.withColumn("overlap", back)
-        .withColumn("char_start", F.col("__start") - F.col("overlap"))
-        .withColumn("char_end", F.col("__start") + F.length("__core"))
-        .withColumn("piece_text", F.expr("substring(__text, char_start + 1, char_end - char_start)"))
-        .select(*keys, "piece_no", "n_pieces", "char_start", "char_end", "overlap", "piece_text")
+    made = cut.withColumn("__spans", spans).select(*keys, F.size("__cores").alias("n_pieces"), pieces.alias("__pieces"))
+    return made.select(*keys, "n_pieces", F.posexplode("__pieces").alias("piece_no", "__p")).select(
+        *keys, "piece_no", "n_pieces", "__p.char_start", "__p.char_end", "__p.overlap", "__p.piece_text"
     )

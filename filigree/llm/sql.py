@@ -136,6 +136,42 @@ g AS (
 SELECT doc_id FROM g GROUP BY doc_id HAVING 10 * (count(*) - count(DISTINCT gram)) >= 3 * count(*)
 """
 
+# Word k of a text ends and begins where the k-th match does; offsets are those of the words joined by what lies between.
+P8_REMOVAL = """
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w, string_split_regex(text, '[\\p{L}\\p{N}]+') AS between
+  FROM documents WHERE text IS NOT NULL
+),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ip AS (
+  SELECT DISTINCT item_id, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)
+),
+dp AS (
+  SELECT doc_id, i, lower(list_aggregate(w[i:i + 11], 'string_agg', ' ')) AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)
+),
+hit AS (SELECT doc_id, item_id, i FROM dp JOIN ip USING (phrase)),
+x AS (
+  SELECT hit.doc_id, item_id, i, list_sum(list_transform(between[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda y: length(y))), 0) AS a,
+    list_sum(list_transform(between[1:i + 11], lambda y: length(y))) + list_sum(list_transform(w[1:i + 11], lambda y: length(y))) AS z
+  FROM hit JOIN dw USING (doc_id)
+),
+"""
+
+P8_SPANS = P8_REMOVAL + """
+o AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12, true) AS fresh FROM x),
+g AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS span FROM o)
+SELECT doc_id, item_id, min(a)::INT AS span_start, max(z)::INT AS span_end, (max(i) - min(i) + 12)::INT AS n_words FROM g GROUP BY doc_id, item_id, span
+"""
+
+P8_REMOVAL += """
+o AS (SELECT *, coalesce(a > max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM x),
+g AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS span FROM o),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items FROM x GROUP BY doc_id)
+SELECT doc_id, min(a)::INT AS span_start, max(z)::INT AS span_end, any_value(n_items) AS n_items FROM g JOIN m USING (doc_id) GROUP BY doc_id, span
+"""
+
 _LINES = f"""
 WITH l AS (
   SELECT doc_id, row_no, line, i AS line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS w
@@ -192,6 +228,8 @@ SQL = {
     "p4_found": P4_FOUND,
     "p4_ranking": P4_RANKING,
     "p8_found": P8_FOUND,
+    "p8_spans": P8_SPANS,
+    "p8_removal": P8_REMOVAL,
     "p9_found": P9_FOUND,
     "p9_lines": P9_LINES,
     "p9_cleaned": P9_CLEANED,

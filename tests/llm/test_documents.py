@@ -47,19 +47,41 @@ def test_pack_table(spark):
     assert P.pack(df.limit(0), "doc_id").count() == 0
 
 
-def test_fm_index_counts_and_locates():
+@pytest.mark.parametrize("kept", [False, True])
+def test_fm_index_counts_and_locates(kept):
     rng = np.random.default_rng(1)
     s = rng.integers(1, 5, 4000)
     s[rng.choice(4000, 60, replace=False)] = 0
     s[-1] = 0
-    index = Q.FMIndex(s, 5)
-    text = s.tolist()
+    text = [str(x) for x in s.tolist()]
+    docs, now = [], []
+    for x in text:
+        if x == "0":
+            docs, now = [*docs, now], []
+        else:
+            now.append(x)
+    docs += [docs[0]] * 5  # whole documents repeat
+    text = [x for d in docs for x in [*d, "0"]]
+    index = Q.Shard(docs)
+    if kept:
+        index = Q.Shard.from_bytes(index.to_bytes())
     for length in (1, 2, 4, 7):
-        phrases = np.array([text[i : i + length] for i in range(0, 900, 37) if 0 not in text[i : i + length]] + [[4] * length])
-        lo, hi = index.search(phrases)
-        for p, a, b in zip(phrases.tolist(), lo, hi):
+        phrases = [text[i : i + length] for i in range(0, 900, 37) if "0" not in text[i : i + length]] + [["4"] * length]
+        lo, hi = index.search(np.array([[index.number[x] for x in p] for p in phrases]))
+        for p, a, b in zip(phrases, lo, hi):
             want = [i for i in range(len(text) - length + 1) if text[i : i + length] == p]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+    assert Q.Shard([]).n == 0 and len(Q.Shard([[], ["a"]]).spans(Q.Items([(1, "a a")]), 1)[0]) == 1
+
+
+def test_index_written_once_serves_every_test_set(spark, tmp_path):
+    docs, items = leak_case(5)
+    d = spark.createDataFrame([(f"d{k}", t) for k, t in docs], "doc_id string, text string").repartition(3)
+    Q.build_index(d, str(tmp_path / "ix"))
+    for part in (items, items[:3], [("none", "words that nobody wrote " * 5)]):
+        i = spark.createDataFrame([(str(k), t) for k, t in part], "item_id string, text string")
+        kept = {(r.doc, r.item, r.n_words) for r in Q.search_index(spark, str(tmp_path / "ix"), i).collect()}
+        assert kept == {(r.doc_id, r.item_id, r.n_words) for r in Q.leaks(d, i).collect()}
 
 
 def leak_case(seed=4):
@@ -112,7 +134,8 @@ def test_items_in_several_passes_and_parts(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = {tuple(r) for r in Q.leaks(d, i).collect()}
     monkeypatch.setattr(Q, "ITEM_CHARS", 1500)
-    monkeypatch.setattr(Q, "INDEX_WORDS", 100)
+    monkeypatch.setattr(Q, "SHARD_WORDS", 100)
+    monkeypatch.setattr(Q, "AT_ONCE", 50)
     assert {tuple(r) for r in Q.leaks(d, i).collect()} == whole and whole
 
 

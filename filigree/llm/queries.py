@@ -54,7 +54,7 @@ def p3_traced(spark: SparkSession, d: str) -> DataFrame:
             F.col("place").cast("int").alias("place"),
             F.col("other").alias("similar_window_id"),
             "similar_chunk_id",
-            F.round("cosine", 3).alias("cosine"),
+            F.round("cosine", 2).alias("cosine"),
         )
     )
 

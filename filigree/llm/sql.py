@@ -46,6 +46,12 @@ SELECT DISTINCT least(id, other) AS window_id_a, greatest(id, other) AS window_i
 FROM k WHERE place <= 5 AND cosine >= 0.8
 """
 
+P3_TRACED = f"""{_NEAR.replace("WHERE cosine >= 0.79", "").replace("cosine DESC", "round(cosine, 6) DESC")},
+c AS (SELECT record_no, min(chunk_id) AS chunk_id FROM chunks WHERE record_no IS NOT NULL GROUP BY 1)
+SELECT id AS window_id, x.chunk_id, place, other AS similar_window_id, y.chunk_id AS similar_chunk_id, round(cosine, 2) AS cosine
+FROM k LEFT JOIN c x ON x.record_no = ra LEFT JOIN c y ON y.record_no = rb WHERE place <= 5
+"""
+
 P4_FOUND = """
 WITH r AS (
   SELECT qid, chunk_id,
@@ -225,6 +231,7 @@ SQL = {
     "p1_found": P1_FOUND,
     "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
+    "p3_traced": P3_TRACED,
     "p4_found": P4_FOUND,
     "p4_ranking": P4_RANKING,
     "p8_found": P8_FOUND,

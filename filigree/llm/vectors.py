@@ -1,18 +1,22 @@
 """Problem 3: the most similar vectors of every vector.
 
 An inverted-file index with adaptive dimension scans. Vectors are normalised,
-rotated at random and kept as 16-bit fixed-point columns; exact copies are one
-class. Each class enters its ``m`` nearest lists and is compared, inside each,
+rotated at random and kept as 16-bit fixed-point columns (as floats where no least
+cosine is asked); exact copies are one class. Each class enters its ``m`` nearest lists and is compared, inside each,
 with the others there. A scan goes over column blocks: after each block a
 hypothesis test on the partial distance (in rotated space it estimates the whole
 one) abandons a candidate that would have to be improbably lucky; survivors get
 their exact cosine. Without a least cosine there is no distance to abandon at: a list's
 cosines are then computed whole, and each vector keeps its ``k`` best of each list.
 
-Centroids are fitted on a bounded sample of ``SAMPLE`` vectors; every vector is
-indexed. Lists hold about ``LIST_SIZE`` vectors whatever the collection's size,
-so work grows with the collection; a list that the sample shows to be longer is
-cut into tiles that are compared pair by pair in separate tasks.
+Centroids are fitted on a uniform sample of about ``SAMPLE`` vectors, 2 % of
+more than a million, at most ``MOST_SAMPLE``; every vector is indexed. Beyond
+``FLAT`` lists they stand in two levels, dense regions getting more of them.
+Lists hold about ``LIST_SIZE`` vectors up to 35 million vectors. Where a list is
+longer than ``WHOLE``, its task fits lists inside it and compares within those,
+so work still grows with the collection; a list that the sample shows to be
+longer than ``TILE`` is cut into tiles that are compared pair by pair in
+separate tasks.
 """
 
 from __future__ import annotations
@@ -22,18 +26,23 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.session import cut
 
-SAMPLE = 20_000
+SAMPLE, MOST_SAMPLE = 20_000, 200_000
+#: Lists that one level of centroids serves.
+FLAT = 1024
 LIST_SIZE = 700
 #: The same where no least cosine is asked: far neighbours share a short list less often.
 OPEN_LIST_SIZE = 2_000
-TILE = 12_000
+WHOLE, TILE = 8_000, 50_000
 #: Fixed point: one unit is 1/32,000 of the unit length.
 UNIT = 32_000.0
+#: How vectors travel: in fixed point where a least cosine decides, as floats where the order of far neighbours does.
+FIXED, FLOAT = "<i2", "<f4"
 #: Column blocks of the scan, and how many deviations a partial distance may lie off.
 BLOCKS = (32, 64)
 EPSILON = 2.1
@@ -42,7 +51,7 @@ EPSILON = 2.1
 def rotation(dim: int) -> np.ndarray:
     """A fixed random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(7).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype("f4")
+    return q * np.sign(np.diag(r))
 
 
 def _dense(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +72,10 @@ def _dense(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _digested(df: DataFrame, key: str, vector: str, with_vector: bool) -> DataFrame:
-    """``id, h`` or ``id, h, v``: digest and rotated unit vector as 16-bit columns.
+def _digested(df: DataFrame, key: str, vector: str, with_vector: str | None) -> DataFrame:
+    """``id, h`` or ``id, h, v``: digest and rotated unit vector, as numbers of kind ``with_vector``: fixed point, or floats.
 
-    Unusable vectors are left out. With the vector, an input partition gives each
+    The digest is of the fixed-point form. Unusable vectors are left out. With the vector, an input partition gives each
     distinct vector once, under its least id there: however often a vector is
     copied, what is shuffled of it is bounded by the number of partitions.
     """
@@ -80,9 +89,12 @@ def _digested(df: DataFrame, key: str, vector: str, with_vector: bool) -> DataFr
                 continue
             if turn is None or len(turn) != m.shape[1]:
                 turn = rotation(m.shape[1])
-            q = np.rint((m @ turn) * UNIT).astype("<i2")
+            turned = m @ turn
+            q = np.rint(turned * UNIT).astype(FIXED)
             raw = [r.tobytes() for r in q]
             digests = [blake2b(r, digest_size=16).digest() for r in raw]
+            if with_vector == FLOAT:
+                raw = [r.tobytes() for r in turned.astype(FLOAT)]
             ids = b.column(0).take(pa.array(rows))
             if not with_vector:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary())], names=["id", "h"])
@@ -98,14 +110,14 @@ def _digested(df: DataFrame, key: str, vector: str, with_vector: bool) -> DataFr
                 names=["id", "h", "v"],
             )
 
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     return rows.where("id is not null and x is not null").mapInArrow(
-        run, "id long, h binary" + ", v binary" * with_vector
+        run, f"id {dict(rows.dtypes)['id']}, h binary" + ", v binary" * bool(with_vector)
     )
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    m = np.frombuffer(b"".join(raw), "<i2").reshape(len(raw), -1).astype("f4")
+def _matrix(raw: list[bytes], kind: str) -> np.ndarray:
+    m = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("f4")
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -123,12 +135,48 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _nearest_lists(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
-    if m >= len(c):
-        return np.tile(np.arange(len(c)), (len(x), 1))
-    return np.concatenate(
-        [np.argpartition(-(x[i : i + 4096] @ c.T), m, axis=1)[:, :m] for i in range(0, len(x), 4096)]
-    )
+class Lists:
+    """Centroids, in two levels where there are many, and the nearest of them."""
+
+    #: First-level cells whose lists are looked at.
+    PROBED = 12
+
+    def __init__(self, x: np.ndarray, k: int) -> None:
+        if k <= FLAT:
+            self.cells, self.lists, self.start = None, fit_centroids(x, k), None
+            return
+        self.cells = fit_centroids(x, int(np.ceil(np.sqrt(k))))
+        cell = np.concatenate([(x[i : i + 8192] @ self.cells.T).argmax(1) for i in range(0, len(x), 8192)])
+        made = []
+        for n in range(len(self.cells)):
+            own = x[cell == n]
+            share = min(len(own), max(1, round(k * len(own) / len(x))))
+            made.append(fit_centroids(own, share) if share > 1 else self.cells[n : n + 1])
+        self.lists = np.concatenate(made)
+        self.start = np.cumsum([0, *map(len, made)])
+
+    def __len__(self) -> int:
+        return len(self.lists)
+
+    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
+        """The ``m`` nearest lists of each vector."""
+        if m >= len(self.lists):
+            return np.tile(np.arange(len(self.lists)), (len(x), 1))
+        if self.cells is None:
+            return np.concatenate([np.argpartition(-(x[i : i + 4096] @ self.lists.T), m, axis=1)[:, :m] for i in range(0, len(x), 4096)])
+        probed = min(self.PROBED, len(self.cells))
+        cells = np.argpartition(-(x @ self.cells.T), probed - 1, axis=1)[:, :probed]
+        best = np.full((len(x), m), -np.inf, "f4")
+        which = np.zeros((len(x), m), np.int64)
+        for n in np.unique(cells):
+            rows = np.flatnonzero((cells == n).any(axis=1))
+            s = x[rows] @ self.lists[self.start[n] : self.start[n + 1]].T
+            scores = np.hstack([best[rows], s])
+            names = np.hstack([which[rows], np.broadcast_to(np.arange(self.start[n], self.start[n + 1]), s.shape)])
+            top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+            best[rows] = np.take_along_axis(scores, top, 1)
+            which[rows] = np.take_along_axis(names, top, 1)
+        return which
 
 
 def scan(x: np.ndarray, left: slice, right: slice, min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,56 +239,99 @@ def nearest(x: np.ndarray, left: slice, right: slice, k: int) -> tuple[np.ndarra
     return tuple(np.concatenate(p) for p in zip(*out))  # type: ignore[return-value]
 
 
-def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((b, -s, a))
-    a, b, s = a[order], b[order], s[order]
+def within(x: np.ndarray, split: int, k: int, min_cosine: float | None, m: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine), both ways, of one list's vectors: all with all, or with ``split`` those before it with those from it on.
+
+    A long list is not compared whole but through lists fitted inside it.
+    """
+
+    def direct(x: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right = (slice(0, split), slice(split, len(x))) if split else (slice(0, len(x)), slice(0, len(x)))
+        if min_cosine is not None:
+            i, j, s = scan(x, left, right, min_cosine)
+            return np.r_[i, j], np.r_[j, i], np.r_[s, s]
+        if not split:
+            return nearest(x, left, right, k)
+        sides = [nearest(x, p, q, k) for p, q in ((left, right), (right, left))]
+        return tuple(np.concatenate(p) for p in zip(*sides))  # type: ignore[return-value]
+
+    if len(x) <= WHOLE:
+        return direct(x, split)
+    taken = np.random.default_rng(13).choice(len(x), min(len(x), SAMPLE), replace=False)
+    inner = Lists(x[taken], max(2, min(len(x) // size, len(taken) // 4)))
+    of = inner.nearest(x, m)
+    order = np.argsort(of.ravel(), kind="stable")
+    rows, ends = order // of.shape[1], np.cumsum(np.bincount(of.ravel(), minlength=len(inner)))
+    out = []
+    for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+        own = rows[lo:hi]  # in order, so those before the split come first
+        first = int(np.searchsorted(own, split))
+        if hi - lo < 2 or (split and first in (0, len(own))):
+            continue
+        i, j, s = direct(x[own], first if split else 0)
+        i, j = own[i], own[j]
+        keep = _best(i, j, s, k, j)  # bounds what is held
+        out.append((i[keep], j[keep], s[keep]))
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    i, j, s = (np.concatenate(p) for p in zip(*out))
+    once = np.unique(i * len(x) + j, return_index=True)[1]
+    return i[once], j[once], s[once]
+
+
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int, tie: np.ndarray) -> np.ndarray:
+    """Places of each ``a``'s ``k`` best rows; equal scores go by ``tie``."""
+    order = np.lexsort((tie, -s, a))
+    if not len(order):
+        return order
     at = np.arange(len(a))
-    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.empty(0, bool)
-    place = at - np.maximum.accumulate(np.where(first, at, 0)) if len(a) else at
-    keep = place < k
-    return a[keep], b[keep], s[keep]
+    first = np.r_[True, a[order][1:] != a[order][:-1]]
+    return order[at - np.maximum.accumulate(np.where(first, at, 0)) < k]
 
 
 def similar_classes(df: DataFrame, key: str, vector: str, k: int, min_cosine: float | None, m: int) -> DataFrame:
     """``a, b, cosine``: for each distinct vector, under its least id, its ``k`` nearest others."""
-    size = OPEN_LIST_SIZE if min_cosine is None else LIST_SIZE
+    size, form = (OPEN_LIST_SIZE, FLOAT) if min_cosine is None else (LIST_SIZE, FIXED)
     spark = df.sparkSession
     total = df.count()
-    share = min(1.0, 1.2 * SAMPLE / max(total, 1))
-    taken = _digested(df.sample(share, seed=5), key, vector, True).select("v").limit(SAMPLE).collect()
+    kind = dict(df.select(F.col(key).alias("id")).dtypes)["id"]
+    sample = min(MOST_SAMPLE, max(SAMPLE, total // 50))
+    # Each row is taken or not by chance, so the sample is uniform and its size known but for that.
+    share = min(1.0, sample / max(total, 1))
+    taken = _digested(df.sample(share, seed=5) if share < 1 else df, key, vector, form).select("v").collect()
     if not taken and share < 1:
-        taken = _digested(df, key, vector, True).select("v").limit(SAMPLE).collect()
-    schema = "a long, b long, cosine double"
+        taken = _digested(df, key, vector, form).select("v").limit(SAMPLE).collect()
+    schema = f"a {kind}, b {kind}, cosine double"
     if not taken:
         return spark.createDataFrame([], schema)
-    x = _matrix([bytes(r["v"]) for r in taken])
-    n_lists = int(max(1, min(total // size, len(x) // 4)))
-    c = fit_centroids(x, n_lists)
-    m = min(m, n_lists)
-    lengths = np.bincount(_nearest_lists(x, c, m).ravel(), minlength=n_lists) * (total / len(x))
-    tiles = np.maximum(1, np.ceil(lengths / TILE)).astype(int)
-    shared = spark.sparkContext.broadcast((c, tiles))
+    x = _matrix(sorted({bytes(r["v"]) for r in taken}), form)
+    lists = Lists(x, int(max(1, min(total // size, len(x) // 4))))
+    m = min(m, len(lists))
+    lengths = np.bincount(lists.nearest(x, m).ravel(), minlength=len(lists)) * (total / len(x))
+    tiles = np.minimum(4096, np.maximum(1, np.ceil(lengths / TILE))).astype(int)
+    shared = spark.sparkContext.broadcast((lists, tiles))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tiles = shared.value
+        lists, tiles = shared.value
         for b in batches:
             raw = b.column(2).to_pylist()
             if not raw:
                 continue
-            lists = _nearest_lists(_matrix(raw), c, m)
+            near = lists.nearest(_matrix(raw, form), m)
             # Copies share a digest, so they share their tiles and meet again there.
             spread = np.array([int.from_bytes(h[:4], "little") for h in b.column(1).to_pylist()], np.int64)
             rows, keys, tile = [], [], []
-            for column in lists.T:
+            for column in near.T:
                 many = tiles[column]
                 own = spread % many
-                for r in np.flatnonzero(many > 1):
-                    # every pair of tiles that this row's tile is part of
-                    t, n = int(own[r]), int(many[r])
-                    for other in range(n):
-                        rows.append(np.array([r]))
-                        keys.append(np.array([(int(column[r]) << 24) | (min(t, other) << 12) | max(t, other)]))
-                        tile.append(np.array([t]))
+                # every pair of tiles that a row's tile is part of
+                cut_up = np.flatnonzero(many > 1)
+                n = many[cut_up]
+                r, t = np.repeat(cut_up, n), np.repeat(own[cut_up], n)
+                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows.append(r)
+                keys.append((column[r].astype("i8") << 24) | (np.minimum(t, other) << 12) | np.maximum(t, other))
+                tile.append(t)
                 single = np.flatnonzero(many == 1)
                 rows.append(single)
                 keys.append(column[single].astype("i8") << 24)
@@ -253,31 +344,28 @@ def similar_classes(df: DataFrame, key: str, vector: str, k: int, min_cosine: fl
 
     def compare(group: pa.Table) -> pa.Table:
         key = group.column("list")[0].as_py()
-        tile, ids = np.asarray(group.column("tile")), np.asarray(group.column("id"))
+        ids = group.column("id").combine_chunks()
+        tile, code = np.asarray(group.column("tile")), np.asarray(pc.rank(ids, tiebreaker="dense"))
         # Input partitions that share a vector each sent it: the least id stands for it.
         digest = group.column("h").combine_chunks().dictionary_encode()
         digest = np.asarray((digest.combine_chunks() if isinstance(digest, pa.ChunkedArray) else digest).indices)
-        order = np.lexsort((ids, digest))
+        order = np.lexsort((code, digest))
         order = order[np.r_[True, digest[order][1:] != digest[order][:-1]]]
         order = order[np.argsort(tile[order], kind="stable")]
-        ids, tile = ids[order], tile[order]
-        x = _matrix([v for v in group.column("v").take(pa.array(order)).to_pylist()])
+        tile, code = tile[order], code[order].astype(np.int64)
+        x = _matrix([v for v in group.column("v").take(pa.array(order)).to_pylist()], form)
         t1, t2 = (key >> 12) & 0xFFF, key & 0xFFF
         split = int((tile == t1).sum()) if t1 != t2 else 0
-        n = len(ids)
-        left, right = slice(0, split or n), slice(split, n)
-        if min_cosine is not None:
-            i, j, s = scan(x, left, right, min_cosine)
-            i, j, s = np.r_[i, j], np.r_[j, i], np.r_[s, s]
-        elif t1 == t2:
-            i, j, s = nearest(x, left, right, k)
-        else:  # a tile may have come alone
-            sides = [nearest(x, p, q, k) for p, q in ((slice(0, split), right), (right, slice(0, split)))]
-            i, j, s = (np.concatenate(p) for p in zip(*sides))
-        a, b, s = _best(ids[i], ids[j], s, k)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64())})
-
-    placed = _digested(df, key, vector, True).mapInArrow(assign, "list long, tile int, id long, h binary, v binary")
+        if t1 != t2 and split in (0, len(tile)):  # a tile came alone
+            i = j = np.empty(0, int)
+            s = np.empty(0)
+        else:
+            i, j, s = within(x, split, k, min_cosine, m, size)
+        keep = _best(i, j, s, k, code[j])
+        a, b = (ids.take(pa.array(order[z[keep]])) for z in (i, j))
+        return pa.table({"a": a, "b": b, "cosine": pa.array(s[keep], pa.float64())})
+
+    placed = _digested(df, key, vector, form).mapInArrow(assign, f"list long, tile int, id {kind}, h binary, v binary")
     edges = placed.groupBy("list").applyInArrow(compare, schema)
     # At most m * k rows a group.
     entry = F.struct((-F.round("cosine", 9)).alias("c"), "b")
@@ -301,7 +389,7 @@ def similar_vectors(
     at cosine 0.8 or more on 130,000 test vectors.
     """
     edges = similar_classes(df, key, vector, k, min_cosine, m)
-    keys = _digested(df, key, vector, False)
+    keys = _digested(df, key, vector, None)
     by_id = Window.partitionBy("h").orderBy("id")
     heads = keys.withColumn("r", F.dense_rank().over(by_id)).where(F.col("r") <= k + 1)
     # Classes of copies, each with its k + 1 least members.

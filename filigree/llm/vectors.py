@@ -281,7 +281,7 @@ def within(x: np.ndarray, split: int, k: int, min_cosine: float | None, m: int,
 
 def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int, tie: np.ndarray) -> np.ndarray:
     """Places of each ``a``'s ``k`` best rows; equal scores go by ``tie``."""
-    order = np.lexsort((tie, -s, a))
+    order = np.lexsort((tie, -np.round(s, 6), a))
     if not len(order):
         return order
     at = np.arange(len(a))
@@ -368,7 +368,7 @@ def similar_classes(df: DataFrame, key: str, vector: str, k: int, min_cosine: fl
     placed = _digested(df, key, vector, form).mapInArrow(assign, f"list long, tile int, id {kind}, h binary, v binary")
     edges = placed.groupBy("list").applyInArrow(compare, schema)
     # At most m * k rows a group.
-    entry = F.struct((-F.round("cosine", 9)).alias("c"), "b")
+    entry = F.struct((-F.round("cosine", 6)).alias("c"), "b")
     best = edges.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("e"))
     return best.select("a", F.explode("e").alias("e")).select("a", "e.b", (-F.col("e.c")).alias("cosine"))
 
@@ -382,7 +382,7 @@ def similar_vectors(
     the ``k`` nearest however far they are. Null keys, and
     vectors that are null, all zero, not finite or of another length than most,
     take no part; a vector's length does not matter. Rows that repeat a key
-    count once. Equal cosines go by id. Vectors that are equal to a unit of
+    count once. Cosines that are equal to six decimals go by id. Vectors that are equal to a unit of
     1/32,000 are one class and near each other with cosine 1; each vector's own
     class comes first, by its least ``k + 1`` members. An empty table gives an
     empty result. ``m`` = 4 lists per vector found 0.9998 of the true neighbours

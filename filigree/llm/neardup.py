@@ -2,14 +2,17 @@
 
 1. A text becomes the set of its distinct word sequences, hashed once. Texts with
    the same set are one class; only classes take part below.
-2. A class keeps the smallest hashes of its sequences of ``LISTED`` words, which are
-   longer than the ones compared: texts alike at the threshold keep whole
-   passages, while stock phrases that thousands of texts share stay shorter.
-   Inverted lists of the retained values bring pairs together; a long list is cut
-   into blocks, each a join key of its own. Texts too short to be sure of an
-   unbroken passage are listed under their rarest compared sequences as well.
-3. Sketches of the compared sequences estimate the similarity of a pair that
-   met, by the sketch of their union; clear misses go. 4. The full sets decide.
+2. A class keeps the smallest hashes of its longer sequences (``listed_words``):
+   texts alike at the threshold keep whole passages, while stock phrases that
+   thousands of texts share stay shorter. Inverted lists of the retained values
+   bring pairs together.
+3. A list over ``HOT`` is a stock passage and is not paired. Its texts, and those
+   too short to be sure of an unbroken passage, are listed under their rarest
+   compared sequences instead: two sets at the threshold share one of these for
+   certain, so no pair is lost. What is still long is cut into blocks, each a
+   join key of its own.
+4. Sketches of the compared sequences estimate the similarity of a pair that
+   met, by the sketch of their union; clear misses go. 5. The full sets decide.
 
 Everything is array functions and joins in the JVM.
 """
@@ -19,15 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.session import cut
+from filigree.session import cut, stored
 
 #: Hashes kept for the estimate, and for the lists.
-SKETCH, LIST_SKETCH = 64, 96
-#: Words of a listed sequence. At a similarity of 0.6 over three words, evenly spread edits
-#: leave a quarter of them whole, so a pair fails to meet with a chance below 1e-6.
+SKETCH, LIST_SKETCH = 128, 96
+#: Most words of a listed sequence.
 LISTED = 8
-#: A text with fewer words may lack an unbroken passage; one with fewer than SHORT may have such a partner.
-SURE, SHORT = 24, 64
+#: Texts under SURE listed sequences' lengths may lack an unbroken passage; one under SHORT may have such a partner.
+SURE, SHORT = 3, 8
+#: Texts that share a retained value, above which it is a stock passage.
+HOT = 1000
 #: Standard deviations below the expected overlap at which the estimate gives up a pair.
 SIGMAS = 5
 #: Longest piece of an inverted list that one join key holds.
@@ -48,41 +52,60 @@ def shingles(tokens: Column, n: int) -> Column:
     )
 
 
-def classes(df: DataFrame, key: str, text: str, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+def listed_words(n: int, threshold: float) -> int:
+    """Words of a listed sequence.
+
+    At a similarity t of sets of ``n``-word sequences a share 2t / (1 + t) of them
+    is whole, so evenly spread edits are n / (1 - share) words apart. A passage of
+    three quarters of that leaves a quarter of the passages whole: a pair shares
+    none of the retained values with a chance below 1e-6. Never under ``n``.
+    """
+    apart = n / (1 - 2 * threshold / (1 + threshold)) if threshold < 1 else float("inf")
+    return max(n, min(LISTED, int(0.75 * apart + 1e-9) - 1))
+
+
+def classes(df: DataFrame, key: str, text: str, n: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(``id, cls`` per distinct key with enough words, ``cls, n, sketch, grams, listed, short`` per class).
 
     ``cls`` is a digest of the whole set: equal sets, and only they, share it.
-    Both are checkpointed; the sets are shuffled once, to keep one of each class.
+    The sets are stored once, as a table; which rows repeat a class is found from
+    the digests alone, so no set is shuffled for it.
     """
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where(
         F.col("id").isNotNull() & F.col("t").isNotNull()
     )
+    long = listed_words(n, threshold)
     tokens = rows.select("id", words(F.col("t")).alias("w")).where(F.size("w") >= max(n, min_words))
-    short = (F.size("w") < SHORT) if min_words < SURE else F.lit(False)
+    short = (F.size("w") < SHORT * long) if min_words < SURE * long else F.lit(False)
     digest = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)]))
-    sets = tokens.select("id", "w", shingles(F.col("w"), n).alias("grams"), short.alias("short")).select(
-        "id", "w", "grams", "short", digest.alias("cls")
+    listed = F.slice(shingles(F.col("w"), long), 1, LIST_SKETCH) if long > n else F.slice("grams", 1, LIST_SKETCH)
+    sets = stored(
+        tokens.select("id", "w", shingles(F.col("w"), n).alias("grams")).select(
+            "id",
+            F.monotonically_increasing_id().alias("row"),
+            digest.alias("cls"),
+            F.size("grams").alias("n"),
+            F.slice("grams", 1, SKETCH).alias("sketch"),
+            "grams",
+            listed.alias("listed"),
+            short.alias("short"),
+        )
     )
+    first = sets.groupBy("cls").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    repeats = stored(sets.select("cls", "row").join(first, "cls").where("row <> first").select("row"))
     # Deliveries of a key agree in their text; if they did not, the least digest would stand.
-    ids = cut(sets.select("id", "cls").groupBy("id").agg(F.min("cls").alias("cls")))
-    reps = sets.select(
-        "cls",
-        F.size("grams").alias("n"),
-        F.slice("grams", 1, SKETCH).alias("sketch"),
-        "grams",
-        F.slice(shingles(F.col("w"), max(n, LISTED)), 1, LIST_SKETCH).alias("listed"),
-        "short",
-    )
-    return ids, cut(reps.dropDuplicates(["cls"]))
+    ids = stored(sets.select("id", "cls").groupBy("id").agg(F.min("cls").alias("cls")))
+    return ids, sets.join(repeats, "row", "left_anti").drop("id", "row")
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """``a, b`` (a < b): classes that meet in an inverted list."""
     by_passage = reps.select("cls", "n", F.explode("listed").alias("v"))
-    often = by_passage.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    passages = by_passage.join(often, "v")
-    # Short texts: two sets of s and more at the threshold share a value among the s - t + 1 rarest, t = threshold * s.
-    few = reps.where("short").select("cls", "n", F.explode("grams").alias("v"))
+    often = stored(by_passage.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    passages = by_passage.join(often.where(F.col("df") <= HOT), "v")
+    # Two sets of s and more at the threshold share a value among the s - t + 1 rarest, t = threshold * s.
+    stock = by_passage.join(often.where(F.col("df") > HOT), "v").select("cls").distinct().withColumn("hot", F.lit(True))
+    few = reps.select("cls", "n", "short", "grams").join(stock, "cls", "left").where("short or hot").select("cls", "n", F.explode("grams").alias("v"))
     seen = few.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
     rare = (
         few.join(seen, "v")
@@ -144,19 +167,19 @@ def near_duplicate_pairs(
     than ``max(n, min_words)`` words, take part in nothing. Expands classes into
     their members, so use ``near_duplicate_groups`` where copies abound.
     """
-    ids, reps = classes(df, key, text, n, min_words)
+    ids, reps = classes(df, key, text, n, threshold, min_words)
     across = (
         links(reps, threshold)
         .join(ids.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a")
         .join(ids.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
         .select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
     )
-    same = (
-        ids.select("cls", F.col("id").alias(f"{key}_a"))
-        .join(ids.select("cls", F.col("id").alias(f"{key}_b")), "cls")
-        .where(F.col(f"{key}_a") < F.col(f"{key}_b"))
-        .select(f"{key}_a", f"{key}_b")
-    )
+    # Of a class with many copies each block of them is a join key of its own.
+    sizes = ids.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copies = ids.join(sizes, "cls")
+    left = copies.select("cls", F.col("id").alias(f"{key}_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    right = copies.select("cls", F.col("id").alias(f"{key}_b"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("blk"))
+    same = left.join(right, ["cls", "blk"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
     return across.unionByName(same)
 
 
@@ -225,7 +248,7 @@ def near_duplicate_groups(
     words in the same order; a text without a word, or null, is a group of its
     own. Null keys have no row; rows that repeat a key count once.
     """
-    ids, reps = classes(df, key, text, n, min_words)
+    ids, reps = classes(df, key, text, n, threshold, min_words)
     linked = cut(links(reps, threshold).select("a", "b"))
     degree = (
         linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))

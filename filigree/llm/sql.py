@@ -25,6 +25,28 @@ FROM s JOIN n na ON na.chunk_id = a JOIN n nb ON nb.chunk_id = b
 WHERE 10 * shared >= 6 * (na.n + nb.n - shared)
 """
 
+P2_GROUPS = """
+WITH RECURSIVE c AS (SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+w AS (SELECT chunk_id, coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), []) AS w FROM c),
+g AS (
+  SELECT DISTINCT chunk_id, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+),
+k AS (
+  SELECT chunk_id, CASE WHEN len(w) >= 5 THEN 's' || (SELECT md5(string_agg(gram, '|' ORDER BY gram)) FROM g WHERE g.chunk_id = w.chunk_id)
+    WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 'k' || chunk_id END AS cls FROM w
+),
+r AS (SELECT cls, min(chunk_id) AS rep FROM k GROUP BY cls),
+h AS (SELECT cls, gram FROM r JOIN g ON chunk_id = rep),
+n AS (SELECT cls, count(*) AS n FROM h GROUP BY cls),
+s AS (SELECT x.cls AS a, y.cls AS b, count(*) AS shared FROM h x JOIN h y ON x.gram = y.gram AND x.cls <> y.cls GROUP BY 1, 2),
+e AS (SELECT a, b FROM s JOIN n na ON na.cls = a JOIN n nb ON nb.cls = b WHERE 10 * shared >= 8 * (na.n + nb.n - shared)),
+t AS (SELECT cls, cls AS far FROM r UNION SELECT t.cls, e.b FROM t JOIN e ON e.a = t.far),
+m AS (SELECT t.cls, min(rep) AS group_id FROM t JOIN r ON r.cls = far GROUP BY t.cls),
+z AS (SELECT chunk_id, k.cls, group_id FROM k JOIN m USING (cls))
+SELECT chunk_id, group_id, (SELECT count(*) FROM e WHERE a = z.cls) AS n_links, count(*) OVER (PARTITION BY group_id) AS group_size FROM z
+"""
+
 _NEAR = """
 WITH v AS (
   SELECT window_id, min(window_map) AS record_no, any_value(embedding)::DOUBLE[96] AS e
@@ -230,6 +252,7 @@ SELECT doc_id, kept_text, words_kept, n_words > 0 AND (n_words - words_kept) * 2
 SQL = {
     "p1_found": P1_FOUND,
     "p2_found": P2_FOUND,
+    "p2_groups": P2_GROUPS,
     "p3_found": P3_FOUND,
     "p3_traced": P3_TRACED,
     "p4_found": P4_FOUND,

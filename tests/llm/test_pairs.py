@@ -37,14 +37,25 @@ def brute(rows, n, threshold, least):
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("n,threshold,least", [(3, 0.6, 40), (5, 0.8, 1)])
-def test_pairs_match_brute_force(spark, n, threshold, least):
+@pytest.mark.parametrize("n,threshold,least,hot", [(3, 0.6, 40, 1000), (5, 0.8, 1, 20), (3, 0.6, 40, 2), (3, 0.4, 1, 20)])
+def test_pairs_match_brute_force(spark, monkeypatch, n, threshold, least, hot):
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "BLOCK", 8)
     rows = corpus() + [("short1", "one two three four five six"), ("short2", "one two three four five six"), ("empty", "")]
     df = spark.createDataFrame(rows + [rows[0], (None, "x " * 50), ("null", None)], "id string, text string").withColumn("cls", F.lit(1))
     got = [tuple(r) for r in N.near_duplicate_pairs(df, "id", "text", n, threshold, least).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, n, threshold, least)
 
 
+def test_evenly_spread_insertions_at_a_low_threshold(spark):
+    w = [f"u{i}" for i in range(140)]
+    edited = [x for i, y in enumerate(w) for x in ([y, f"new{i}"] if i % 7 == 6 else [y])]
+    rows = [("a", " ".join(w)), ("b", " ".join(edited))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert N.listed_words(3, 0.6) == 8 and N.listed_words(3, 0.5) == 5
+    assert N.near_duplicate_pairs(df, "id", "text", 3, 0.5, 40).count() == len(brute(rows, 3, 0.5, 40)) == 1
+
+
 def test_short_texts_are_not_missed(spark):
     rows = [("a", " ".join(f"x{i}" for i in range(16))), ("b", " ".join(f"x{i}" if i != 7 else "zz" for i in range(16)))]
     df = spark.createDataFrame(rows, "id string, text string")

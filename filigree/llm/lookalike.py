@@ -1,8 +1,8 @@
 """Problem 5: one consistent form for texts that look the same.
 
 A text is cut into positioned segments: plain ASCII runs, which need nothing,
-and short clusters that hold every other character with the ASCII letter they
-may combine with. Each *distinct* cluster is exploded into positioned code
+and clusters of one character with the marks that may combine with it, so there
+are hardly more different ones than characters. Each *distinct* cluster is exploded into positioned code
 points; a broadcast join with a Unicode table maps each code point to its
 compatibility decomposition, folded to Latin look-alikes, plain quotes, dashes
 and blanks, with characters without width gone. Combining marks are ordered by
@@ -42,7 +42,13 @@ QUOTES = {
 #: Characters without width besides Unicode's format class.
 NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍᠎ㅤ"
 
-_CLUSTER = r"[\x00-\x7f]+(?![^\x00-\x7f])|[\x00-\x7f]?[^\x00-\x7f]+"
+# What may combine with, or vanish between, what stands before it: marks, format characters, fillers, kana voicing;
+# and the letters of Hangul, which compose among themselves.
+_EXTENDS = r"\p{M}\p{Cf}\uff9e\uff9f\u115f\u1160\u3164\uffa0"
+_JAMO = r"\u1100-\u11ff\u3131-\u318e\ua960-\ua97f\ud7b0-\ud7ff\uffa0-\uffdc"
+_CLUSTER = (
+    rf"[\x00-\x7f]+(?![{_EXTENDS}])|[\x00-\x7f][{_EXTENDS}]+|[\uac00-\ud7a3{_JAMO}][{_JAMO}{_EXTENDS}]*|[^\x00-\x7f][{_EXTENDS}]*"
+)
 
 
 def _is_no_width(ch: str) -> bool:

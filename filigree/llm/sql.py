@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from filigree.llm.lookalike import fold_rows
 from filigree.plans.checks import SPACE
 
 _ONCE = "SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id"
@@ -249,6 +250,33 @@ P9_CLEANED = f"""{_LINES}
 SELECT doc_id, kept_text, words_kept, n_words > 0 AND (n_words - words_kept) * 2 >= n_words AS rejected FROM e
 """
 
+def _folded() -> str:
+    """CTEs ``t(k, t)`` to ``u(k, u)``: code points mapped by a table that Unicode's data gives, composed, blanks made one."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({ord(c)}, {quoted(''.join(x for x, _ in to))})" for c, to in fold_rows())
+    return f"""m(cp, fold) AS (VALUES {rows}),
+x AS (SELECT k, c, i FROM (SELECT k, unnest(s) AS c, generate_subscripts(s, 1) AS i FROM (SELECT k, string_split(t, '') AS s FROM t WHERE t <> ''))),
+j AS (SELECT k, string_agg(coalesce(fold, c), '' ORDER BY i) AS j FROM x LEFT JOIN m ON cp = unicode(c) GROUP BY k),
+u AS (SELECT k, CASE WHEN t IS NOT NULL THEN trim(regexp_replace(nfc_normalize(coalesce(j, '')), '[\\t-\\r\\x1c-\\x1f ]+', ' ', 'g')) END AS u
+  FROM t LEFT JOIN j USING (k))"""
+
+
+def lookalike_sql() -> dict[str, str]:
+    folded = _folded()
+    return {
+        "p5_unified_chunks": f"WITH t AS (SELECT chunk_id AS k, min(text) AS t FROM chunks GROUP BY 1), {folded} SELECT k AS chunk_id, u AS unified FROM u",
+        "p5_unified_quotes": f"WITH t AS (SELECT claim_id AS k, min(quote) AS t FROM verified_claims GROUP BY 1), {folded} SELECT k AS claim_id, u AS unified FROM u",
+        "p5_found": f"""WITH c AS ({_ONCE}),
+v AS (SELECT DISTINCT claim_id, chunk_id, quote FROM verified_claims WHERE quote IS NOT NULL),
+o AS (SELECT claim_id, quote, text FROM v JOIN c USING (chunk_id) WHERE NOT contains(text, quote)),
+t AS (SELECT DISTINCT k, t FROM (SELECT md5(quote) AS k, quote AS t FROM o UNION ALL SELECT md5(text), text FROM o)), {folded}
+SELECT DISTINCT claim_id FROM o JOIN u q ON q.k = md5(quote) JOIN u z ON z.k = md5(text) WHERE q.u <> '' AND contains(z.u, q.u)""",
+    }
+
+
 SQL = {
     "p1_found": P1_FOUND,
     "p2_found": P2_FOUND,
@@ -264,3 +292,7 @@ SQL = {
     "p9_lines": P9_LINES,
     "p9_cleaned": P9_CLEANED,
 }
+
+
+def sql() -> dict[str, str]:
+    return SQL | lookalike_sql()

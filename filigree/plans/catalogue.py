@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions import text as X
-from filigree.functions.vectors import l2_normalize
+from filigree.functions.vectors import hash_encode, l2_normalize
 from filigree.operators import answer as A
 from filigree.operators import evaluate as E
 from filigree.operators import lexical as L
 from filigree.operators.chunking import pack_chunks
 from filigree.operators.dense import dense_top, hashed_top
 from filigree.operators.extract import html_blocks
+from filigree.operators.search import index_search as index_search_batch
 from filigree.operators.search import search
 from filigree.operators.sections import detect_headings, fill_forward
 from filigree.plans.checks import SQL
-from filigree.session import table
+from filigree.session import scratch, stored, table
 from filigree.sources import filings as S
 from filigree.sources import index_store as I
 
@@ -34,27 +35,33 @@ def query(f: Query) -> Query:
     return f
 
 
+def once(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One whole row per distinct ``keys``, none of them null: the least delivery, never a mix of several."""
+    kept = df.where(" and ".join(f"{k} is not null" for k in keys))
+    first = kept.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("m"))
+    return first.select(*keys, *[F.col(f"m.{f}").alias(f) for f in fields])
+
+
+CHUNK_FIELDS = "ticker form filing_date report_date accession_number section_key section_title record_no source_sha256 text".split()
+BLOCK_FIELDS = "text char_start char_end in_table ticker".split()
+CLAIM_FIELDS = "qid claim_text quote chunk_id source_sha256 char_start char_end section_key".split()
+RETRIEVED_FIELDS = "result_rank bm25_rank embed_rank score".split()
+
+
 def chunks_once(spark: SparkSession, d: str) -> DataFrame:
-    """Each chunk once, by what all its deliveries agree on or the least value."""
-    c = table(spark, d, "chunks").where("chunk_id is not null")
-    fields = ["text", "ticker", "form", "filing_date", "report_date", "accession_number", "section_key", "section_title", "record_no", "source_sha256"]
-    return c.groupBy("chunk_id").agg(*[F.min(f).alias(f) for f in fields])
+    return once(table(spark, d, "chunks"), ["chunk_id"], CHUNK_FIELDS)
 
 
 def blocks_once(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "blocks").where("doc is not null and ord is not null")
-    return b.groupBy("doc", "ord").agg(*[F.min(f).alias(f) for f in ("text", "char_start", "char_end", "in_table", "ticker")])
+    return once(table(spark, d, "blocks"), ["doc", "ord"], BLOCK_FIELDS)
 
 
 def claims_once(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "verified_claims").where("claim_id is not null")
-    fields = ["qid", "claim_text", "quote", "chunk_id", "source_sha256", "char_start", "char_end", "section_key"]
-    return c.groupBy("claim_id").agg(*[F.min(f).alias(f) for f in fields])
+    return once(table(spark, d, "verified_claims"), ["claim_id"], CLAIM_FIELDS)
 
 
 def retrieved_once(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "retrieved_chunks").where("qid is not null and chunk_id is not null")
-    return r.groupBy("qid", "chunk_id").agg(*[F.min(f).alias(f) for f in ("result_rank", "bm25_rank", "embed_rank", "score")])
+    return once(table(spark, d, "retrieved_chunks"), ["qid", "chunk_id"], RETRIEVED_FIELDS)
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -163,8 +170,7 @@ def hash_cosine_topk(spark, d):
     return _ranked(hashed_top(chunks_once(spark, d), items(spark, d), "chunk_id", "item_id", 10))
 
 
-def _search(spark, d, **options) -> DataFrame:
-    found = search(chunks_once(spark, d), items(spark, d), query_key="item_id", **options)
+def _found(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("qid").alias("item_id"),
         F.col("doc").alias("chunk_id"),
@@ -177,20 +183,45 @@ def _search(spark, d, **options) -> DataFrame:
     )
 
 
+def _search(spark, d, **options) -> DataFrame:
+    return _found(search(chunks_once(spark, d), items(spark, d), query_key="item_id", entities=table(spark, d, "entities"), **options))
+
+
 @query
 def hybrid_topk(spark, d):
+    """Over enriched texts and their best windows, built for the one batch."""
     return _search(spark, d)
 
 
 @query
-def hybrid_topk_enriched(spark, d):
-    """Over enriched texts and their best windows, as the service searches; ``hybrid_topk`` is the bare text that its SQL states."""
-    return _search(spark, d, entities=table(spark, d, "entities"))
+def hybrid_topk_scoped(spark, d):
+    return _search(spark, d, filters={"form": "10-q"}, method="bm25")
+
+
+@query
+def index_search(spark, d):
+    """The same from a sealed index: written, checked by every gate, loaded and searched."""
+    chunks = stored(chunks_once(spark, d))
+    sources = chunks.select(F.col("accession_number").alias("path"), F.col("source_sha256").alias("sha256"))
+    path = scratch(spark, "index")
+    I.build_index(chunks, table(spark, d, "entities"), sources, path)
+    return _found(index_search_batch(I.load_index(spark, path, sources), items(spark, d), "item_id"))
 
 
 @query
-def hybrid_topk_scoped(spark, d):
-    return _search(spark, d, filters={"form": "10-q"}, method="bm25")
+def index_windows_cut(spark, d):
+    """The windows an index holds: each under its chunk's header, with the record it maps to."""
+    rich = I.indexed(chunks_once(spark, d), table(spark, d, "entities")).withColumn("window_map", F.col("record_no"))
+    w = I.headed_windows(rich, "chunk_id", "text", "window_map")
+    return w.select("chunk_id", "window_map", "win_no", F.md5("window_text").alias("digest"), F.length("window_text").alias("n_chars"))
+
+
+@query
+def hashed_vectors(spark, d):
+    """The hashed encoder over chunk texts: how many places of the unit vector are filled, and their value."""
+    v = chunks_once(spark, d).where("text is not null").select("chunk_id", hash_encode(F.col("text")).alias("v"))
+    filled = F.filter("v", lambda x: x > 0)
+    return v.select("chunk_id", F.size(filled).alias("n_slots"), F.round(F.array_max("v").cast("double"), 6).alias("value"), F.md5(F.array_join(F.transform("v", lambda x: (x > 0).cast("int")), "")).alias("digest"))
 
 
 # Structure

@@ -6,25 +6,20 @@ ZERO_WIDTH = "chr(8203) || chr(65279)"
 SPACE = (
     "'[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'"
 )
-CHUNKS = (
-    "SELECT chunk_id, " + ", ".join(
-        f"min({c}) AS {c}"
-        for c in "text ticker form filing_date report_date accession_number section_key section_title record_no source_sha256".split()
-    )
-    + " FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id"
-)
-BLOCKS = (
-    "SELECT doc, ord, min(text) AS text, min(char_start) AS char_start, min(char_end) AS char_end, min(in_table) AS in_table"
-    " FROM blocks WHERE doc IS NOT NULL AND ord IS NOT NULL GROUP BY doc, ord"
-)
-CLAIMS = (
-    "SELECT claim_id, " + ", ".join(f"min({c}) AS {c}" for c in "qid claim_text quote chunk_id source_sha256 char_start char_end section_key".split())
-    + " FROM verified_claims WHERE claim_id IS NOT NULL GROUP BY claim_id"
-)
-RETRIEVED = (
-    "SELECT qid, chunk_id, min(result_rank) AS result_rank, min(bm25_rank) AS bm25_rank, min(embed_rank) AS embed_rank, min(score) AS score"
-    " FROM retrieved_chunks WHERE qid IS NOT NULL AND chunk_id IS NOT NULL GROUP BY qid, chunk_id"
-)
+
+
+def once(source: str, keys: str, fields: str) -> str:
+    """The least row per key, fields compared in order, nulls first."""
+    order = ", ".join(f"{f} NULLS FIRST" for f in fields.split())
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys.split())
+    names = ", ".join([*keys.split(), *fields.split()])
+    return f"SELECT {names} FROM {source} WHERE {known} QUALIFY row_number() OVER (PARTITION BY {', '.join(keys.split())} ORDER BY {order}) = 1"
+
+
+CHUNKS = once("chunks", "chunk_id", "ticker form filing_date report_date accession_number section_key section_title record_no source_sha256 text")
+BLOCKS = once("blocks", "doc ord", "text char_start char_end in_table ticker")
+CLAIMS = once("verified_claims", "claim_id", "qid claim_text quote chunk_id source_sha256 char_start char_end section_key")
+RETRIEVED = once("retrieved_chunks", "qid chunk_id", "result_rank bm25_rank embed_rank score")
 
 
 def norm(c: str) -> str:
@@ -82,10 +77,51 @@ def best(source: str, n: int, by: str = "score") -> str:
     )
 
 
+def header(c: str = "c", e: str = "e") -> str:
+    return (
+        f"coalesce({c}.ticker, '') || ' ' || coalesce(nullif({e}.n, ''), {c}.ticker, '') || ' | ' || coalesce({c}.form, '') || ' filed '"
+        f" || coalesce({c}.filing_date, '') || ' period ' || coalesce({c}.report_date, '') || ' | ' || coalesce({c}.section_title, '')"
+    )
+
+
+RICH = f"""
+e AS (SELECT ticker, max(entity_name) AS n FROM entities WHERE ticker IS NOT NULL GROUP BY ticker),
+rich AS (SELECT c.*, {header()} AS header FROM ({CHUNKS}) c LEFT JOIN e ON c.ticker = e.ticker),
+win AS (
+  SELECT chunk_id, record_no AS window_map, form, ticker, win_no, header || ' | ' || substr(text, win_no * 600 + 1, 800) AS window_text
+  FROM (SELECT *, unnest(range(0, greatest(0, ceil((length(text) - 800) / 600.0))::INT + 1)) AS win_no FROM rich WHERE text IS NOT NULL)
+)
+"""
+# The same as TF, BM25 and HASHED, over enriched texts and windows.
+ENRICHED = f"""{RICH},
+{TF.replace(f"c AS ({CHUNKS})", "c AS (SELECT * REPLACE (header || ' | ' || text AS text) FROM rich)").strip()},
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({tokens("text")}) AS term FROM eval_items) GROUP BY 1, 2),
+bm AS (
+  SELECT item_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) AS score
+  FROM q JOIN tf USING (term) JOIN idf USING (term), st GROUP BY 1, 2
+),
+wt AS (SELECT chunk_id, win_no, {tokens("window_text")} AS t FROM win),
+hs AS (SELECT chunk_id, win_no, CASE WHEN len(t) = 0 THEN [0::UBIGINT] ELSE {SLOTS.format(t="t")} END AS s FROM wt),
+hq AS (
+  SELECT item_id, CASE WHEN len(t) = 0 THEN [0::UBIGINT] ELSE {SLOTS.format(t="t")} END AS s
+  FROM (SELECT item_id, {tokens("text")} AS t FROM eval_items)
+),
+hp AS (
+  SELECT item_id, chunk_id, win_no, count(*) / sqrt(any_value(nq) * any_value(nd)) AS score
+  FROM (SELECT item_id, len(s) AS nq, unnest(s) AS slot FROM hq)
+  JOIN (SELECT chunk_id, win_no, len(s) AS nd, unnest(s) AS slot FROM hs) USING (slot) GROUP BY 1, 2, 3
+),
+ha AS (
+  SELECT item_id, c.chunk_id, coalesce(max(hp.score), 0) AS score
+  FROM (SELECT DISTINCT item_id FROM eval_items) i CROSS JOIN (SELECT DISTINCT chunk_id FROM win) c LEFT JOIN hp USING (item_id, chunk_id) GROUP BY 1, 2
+)
+"""
+
+
 def hybrid(by: str, keep: str = "true") -> str:
-    return f"""WITH {BM25}, {HASHED},
+    return f"""WITH {ENRICHED},
 b50 AS ({best(f"(SELECT bm.* FROM bm JOIN c USING (chunk_id) WHERE {keep})", 50)}),
-h50 AS ({best(f"(SELECT * FROM ha WHERE {keep})", 50)}),
+h50 AS ({best(f"(SELECT ha.* FROM ha JOIN c USING (chunk_id) WHERE {keep})", 50)}),
 f AS (
   SELECT item_id, chunk_id, coalesce(1.0 / (5 + b50.rank), 0) + coalesce(1.0 / (5 + h50.rank), 0) AS fused, b50.rank AS bm25_rank,
     b50.score AS bm25_score, h50.rank AS embed_rank, h50.score AS embed_score
@@ -152,13 +188,7 @@ FROM filings""",
     "windows_split": f"""WITH c AS ({CHUNKS}),
 n AS (SELECT chunk_id, text, unnest(range(0, greatest(0, ceil((length(text) - 800) / 600.0))::INT + 1)) AS win_no FROM c WHERE text IS NOT NULL)
 SELECT chunk_id, win_no, substr(text, win_no * 600 + 1, 800) AS window_text FROM n""",
-    "enriched_headers": f"""WITH c AS ({CHUNKS}), e AS (SELECT ticker, max(entity_name) AS n FROM entities WHERE ticker IS NOT NULL GROUP BY ticker),
-h AS (
-  SELECT chunk_id, text, coalesce(c.ticker, '') || ' ' || coalesce(nullif(n, ''), c.ticker, '') || ' | ' || coalesce(form, '') || ' filed '
-    || coalesce(filing_date, '') || ' period ' || coalesce(report_date, '') || ' | ' || coalesce(section_title, '') AS header
-  FROM c LEFT JOIN e ON c.ticker = e.ticker
-)
-SELECT chunk_id, header, length(header || ' | ' || text) AS n_chars FROM h""",
+    "enriched_headers": f"""WITH {RICH} SELECT chunk_id, header, length(header || ' | ' || text) AS n_chars FROM rich""",
     "normalized_vectors": """
 WITH v AS (
   SELECT window_id, any_value(embedding)::DOUBLE[] AS e FROM index_windows WHERE window_id IS NOT NULL AND embedding IS NOT NULL GROUP BY window_id
@@ -185,6 +215,11 @@ SELECT window_id, record_no, row_number() OVER (PARTITION BY window_id ORDER BY
 FROM s QUALIFY rank <= 5""",
     "hash_cosine_topk": f"WITH {TF}, {HASHED} SELECT item_id, chunk_id, rank, round(score, 6) AS score FROM ({best('ha', 10)})",
     "hybrid_topk": hybrid("fused"),
+    "index_search": hybrid("fused"),
+    "index_windows_cut": f"""WITH {RICH} SELECT chunk_id, window_map, win_no, md5(window_text) AS digest, length(window_text) AS n_chars FROM win""",
+    "hashed_vectors": f"""WITH {TF}, {HASHED},
+v AS (SELECT chunk_id, len(s) AS n, list_transform(range(0, 512), lambda i: CASE WHEN list_contains(s, i::UBIGINT) THEN '1' ELSE '0' END) AS v FROM hs)
+SELECT chunk_id, n AS n_slots, round((1 / sqrt(n))::FLOAT::DOUBLE, 6) AS value, md5(array_to_string(v, '')) AS digest FROM v""",
     "hybrid_topk_scoped": hybrid("bm25_score", "upper(form) = '10-Q'"),
     "section_ffill": f"WITH {LABELLED} SELECT doc, ord, section_key FROM l",
     "packed_chunks": f"""WITH RECURSIVE {LABELLED},

@@ -86,14 +86,18 @@ def test_index_gates(spark, tmp_path):
     m = index_store.build_index(chunks, entities, sources, path)
     assert m["n_docs"] == 2
     t = index_store.load_index(spark, path, sources, "hashed-512")
-    assert t["windows"].where("chunk_id = 'c1'").count() == 2 and t["records"].where("text LIKE '%Acme%'").count() == 0
+    assert t.windows.where("chunk_id = 'c1'").count() == 2 and t.records.where("text LIKE '%Acme%'").count() == 0
     new = spark.createDataFrame([("p1", "h1"), ("p2", "zz"), ("p3", "h3")], "path string, sha256 string")
     assert {tuple(r) for r in index_store.stale_sources(sources, new).collect()} == {("p2", "changed"), ("p3", "new")}
     with pytest.raises(index_store.StaleIndexError):
         index_store.load_index(spark, path, new)
     with pytest.raises(index_store.StaleIndexError):
         index_store.load_index(spark, path, model_id="other")
-    t["windows"].limit(1).write.mode("append").parquet(f"{path}/windows")
+    with pytest.raises(index_store.StaleIndexError):
+        index_store.load_index(spark, path, dim=384)
+    with pytest.raises(ValueError):
+        index_store.build_index(chunks, entities, sources, path, "model without an encoder")
+    t.windows.limit(1).write.mode("append").parquet(f"{path}/windows")
     with pytest.raises(index_store.StaleIndexError):
         index_store.load_index(spark, path)
 

@@ -43,13 +43,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingles(tokens: Column, n: int) -> Column:
-    """Sorted distinct hashes of the ``n``-word sequences; empty below ``n`` words."""
+def sequences(tokens: Column, n: int) -> Column:
+    """Hashes of the ``n``-word sequences in order; empty below ``n`` words."""
     at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
     hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(n)]))
-    return F.when(F.size(tokens) >= n, F.sort_array(F.array_distinct(hashed))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    return F.when(F.size(tokens) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def passages(hashed: Column, n: int, long: int) -> Column:
+    """Hashes of the ``long``-word sequences, from those of the ``n``-word sequences that cover them."""
+    steps = [*range(0, long - n, n), long - n]
+    at = F.sequence(F.lit(0), F.greatest(F.size(hashed) - 1 - (long - n), F.lit(0)))
+    made = F.transform(at, lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in steps]))
+    return F.when(F.size(hashed) > long - n, made).otherwise(F.array().cast("array<bigint>"))
+
+
+def smallest(hashed: Column, k: int | None = None) -> Column:
+    """The distinct values in order, or the first ``k`` of them."""
+    ordered = F.sort_array(F.array_distinct(hashed))
+    return ordered if k is None else F.slice(ordered, 1, k)
 
 
 def listed_words(n: int, threshold: float) -> int:
@@ -75,12 +87,15 @@ def classes(df: DataFrame, key: str, text: str, n: int, threshold: float, min_wo
         F.col("id").isNotNull() & F.col("t").isNotNull()
     )
     long = listed_words(n, threshold)
-    tokens = rows.select("id", words(F.col("t")).alias("w")).where(F.size("w") >= max(n, min_words))
+    # Exploded, so that the filter stays above it and texts are cut into words once.
+    tokens = rows.select("id", F.explode(F.array(words(F.col("t")))).alias("w")).where(F.size("w") >= max(n, min_words))
     short = (F.size("w") < SHORT * long) if min_words < SURE * long else F.lit(False)
     digest = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)]))
-    listed = F.slice(shingles(F.col("w"), long), 1, LIST_SKETCH) if long > n else F.slice("grams", 1, LIST_SKETCH)
+    listed = smallest(passages(F.col("h"), n, long), LIST_SKETCH) if long > n else F.slice("grams", 1, LIST_SKETCH)
     sets = stored(
-        tokens.select("id", "w", shingles(F.col("w"), n).alias("grams")).select(
+        tokens.select("id", short.alias("short"), sequences(F.col("w"), n).alias("h"))
+        .select("id", "short", "h", smallest(F.col("h")).alias("grams"))
+        .select(
             "id",
             F.monotonically_increasing_id().alias("row"),
             digest.alias("cls"),
@@ -88,7 +103,7 @@ def classes(df: DataFrame, key: str, text: str, n: int, threshold: float, min_wo
             F.slice("grams", 1, SKETCH).alias("sketch"),
             "grams",
             listed.alias("listed"),
-            short.alias("short"),
+            "short",
         )
     )
     first = sets.groupBy("cls").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")

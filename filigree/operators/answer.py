@@ -7,35 +7,39 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.functions.text import normalize, quote_verdict
-from filigree.operators.search import search
-from filigree.session import cut
+from filigree.functions.text import quote_verdict
+from filigree.operators.search import index_search, search
+from filigree.session import cut, stored
+from filigree.sources.index_store import Index
 
 # Corporate suffixes that name nobody, and the three refusals.
-SUFFIXES = ("inc", "corp", "corporation", "company", "co", "ltd", "limited", "plc", "llc", "holdings", "group", "the", "and", "of")
+SUFFIXES = ("inc", "corp", "corporation", "ltd", "llc", "co", "usa", "plc", "sa")
 REFUSALS = ("retrieval_empty", "model_refusal", "all_claims_unverified")
 
 
 def plain_words(text):
-    return F.regexp_extract_all(F.lower(normalize(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def aliases(entities: DataFrame) -> DataFrame:
-    """``alias, ticker, n_words``: tickers, full names, and single words of names without suffixes.
+    """``alias, ticker, n_words``: tickers, names without corporate suffixes, and full names.
 
-    ``entities(ticker, entity_name)``. A full name goes to its first ticker in
-    order, a word to its last, a ticker always to itself.
+    ``entities(ticker, entity_name)``; a company without a name goes by its
+    ticker. Of several companies the last ticker in order has a ticker or a short
+    name; a full name is only used where neither has it, by the first.
     """
-    e = entities.where("ticker is not null").select("ticker", plain_words(F.coalesce("entity_name", F.lit(""))).alias("w")).distinct()
-    keep = F.filter("w", lambda x: ~x.isin(*SUFFIXES))
-    words = e.select("ticker", F.explode(keep).alias("alias")).groupBy("alias").agg(F.max("ticker").alias("ticker"))
-    names = (
-        e.where(F.size("w") > 0).select("ticker", F.array_join("w", " ").alias("alias")).groupBy("alias").agg(F.min("ticker").alias("ticker"))
+    name = F.coalesce(F.nullif(F.max("entity_name"), F.lit("")), F.col("ticker"))
+    e = entities.where("ticker is not null").groupBy("ticker").agg(name.alias("name")).select("ticker", plain_words(F.col("name")).alias("w"))
+    short = F.array_join(F.filter("w", lambda x: ~x.isin(*SUFFIXES)), " ")
+    own = F.array(
+        F.struct(F.lower("ticker").alias("alias"), F.lit(True).alias("strong")),
+        F.struct(short.alias("alias"), F.lit(True).alias("strong")),
+        # A name that is nothing but suffixes names nobody.
+        F.struct(F.when(F.length(short) > 0, F.array_join("w", " ")).alias("alias"), F.lit(False).alias("strong")),
     )
-    own = e.select(F.lower("ticker").alias("alias"), "ticker")
-    both = own.withColumn("p", F.lit(0)).unionByName(names.withColumn("p", F.lit(1))).unionByName(words.withColumn("p", F.lit(2)))
-    first = both.groupBy("alias").agg(F.min(F.struct("p", "ticker")).alias("m"))
-    return first.select("alias", F.col("m.ticker").alias("ticker"), F.size(F.split("alias", " ")).alias("n_words"))
+    each = e.select("ticker", F.inline(own)).where(F.length("alias") > 0)
+    best = each.groupBy("alias").agg(F.coalesce(F.max(F.when(F.col("strong"), F.col("ticker"))), F.min("ticker")).alias("ticker"))
+    return best.select("alias", "ticker", F.size(F.split("alias", " ")).alias("n_words"))
 
 
 def scope(questions: DataFrame, entities: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
@@ -64,7 +68,9 @@ def scope(questions: DataFrame, entities: DataFrame, key: str = "qid", text: str
 
 def verify_claims(claims: DataFrame, chunks: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
     """``claims`` with ``verdict``; a chunk must exist and, given ``retrieved(qid, chunk_id)``, be retrieved for the question."""
-    texts = chunks.where("chunk_id is not null").groupBy(F.col("chunk_id").alias("__c")).agg(F.min("text").alias("__t"))
+    # Only cited chunks bring their text.
+    cited = chunks.join(claims.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    texts = cited.groupBy(F.col("chunk_id").alias("__c")).agg(F.min("text").alias("__t"))
     out = claims.join(texts, F.col("chunk_id") == F.col("__c"), "left")
     known = F.col("__c").isNotNull()
     if retrieved is not None:
@@ -112,43 +118,68 @@ class ExtractiveDrafter:
         )
 
 
-def prompts(retrieved: DataFrame) -> DataFrame:
-    """``qid, prompt``: a question's chunks by rank, each under its header line. At most k rows a question."""
-    piece = F.format_string("[%s] %s %s\n%s", "chunk_id", "ticker", "section_title", "text")
-    return retrieved.groupBy("qid").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n---\n"
-        ).alias("prompt")
+def prompts(retrieved: DataFrame, questions: DataFrame) -> DataFrame:
+    """``qid, prompt``: the question, then its chunks by rank, each under its header line; missing fields are empty.
+
+    ``retrieved(qid, rank, chunk_id, ticker, form, filing_date, section_title,
+    text)``, at most k rows a question; ``questions(qid, text)``.
+    """
+    part = lambda c: F.coalesce(c, F.lit(""))
+    piece = F.format_string(
+        "[%s] %s %s filed %s — %s\n%s", *[part(c) for c in ("chunk_id", "ticker", "form", "filing_date", "section_title", "text")]
     )
+    listed = retrieved.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))).alias("p"))
+    blocks = F.array_join(F.transform("p", lambda x: x["p"]), "\n\n---\n\n")
+    asked = questions.select("qid", part("text").alias("q"))
+    return listed.join(asked, "qid").select("qid", F.concat(F.lit("Question: "), "q", F.lit("\n\nChunks:\n\n"), blocks).alias("prompt"))
+
 
+RECORD = {
+    "ticker": "string", "form": "string", "filing_date": "string", "accession_number": "string", "section_key": "string", "section_title": "string",
+    "char_start": "int", "char_end": "int", "source_path": "string", "source_sha256": "string",
+}
 
-def answer(questions: DataFrame, chunks: DataFrame, entities: DataFrame, drafter: Drafter | None = None, k: int = 8) -> DataFrame:
-    """``qid, ticker, answered, refusal_reason, n_verified, dropped_claims, claims`` for a batch ``questions(qid, text)``.
 
-    A question that names one company is searched within it. No claim survives
-    whose quote is not in a chunk retrieved for that question; if none does, or
-    nothing was retrieved, or the drafter declines, the answer is a refusal.
+def answer(
+    questions: DataFrame, chunks: DataFrame, entities: DataFrame, drafter: Drafter | None = None, k: int = 8, index: Index | None = None
+) -> DataFrame:
+    """``qid, ticker, answered, refusal_reason, n_verified, dropped_claims, retrieved, claims`` for a batch ``questions(qid, text)``.
+
+    A question that names one company is searched within it, to the full depth.
+    No claim survives whose quote is not in a chunk retrieved for that question;
+    if none does, or nothing was retrieved, or the drafter declines, the answer is
+    a refusal. ``claims`` carry the cited chunk's record; fields that ``chunks``
+    lacks are null. With an ``index``, a loaded one under the hashed encoder, it
+    is searched and ``chunks`` only give the records.
     """
     drafter = drafter or ExtractiveDrafter()
     scoped = cut(scope(questions, entities))
-    kept = search(chunks, questions.select("qid", "text").join(scoped, "qid"), k=k, entities=entities, within="ticker")
-    record = chunks.dropDuplicates(["chunk_id"]).drop("qid")
-    retrieved = kept.select("qid", F.col("doc").alias("chunk_id"), "rank").join(record, "chunk_id")
+    asked = questions.select("qid", "text").join(scoped, "qid")
+    if index is not None:
+        kept = index_search(index, asked, k=k, within="ticker")
+    else:
+        kept = search(chunks, asked, k=k, entities=entities, within="ticker")
+    kept = cut(kept.select("qid", F.col("doc").alias("chunk_id"), "rank"))
+    found = chunks.join(kept.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    for c, kind in RECORD.items():
+        if c not in found.columns:
+            found = found.withColumn(c, F.lit(None).cast(kind))
+    record = stored(found.select("chunk_id", "text", *RECORD))
+    retrieved = kept.join(record, "chunk_id")
     drafted = drafter.draft(retrieved)
     declined = drafted.where(~F.coalesce("answerable", F.lit(False))).groupBy("qid").agg(
         F.coalesce(F.min("refusal_reason"), F.lit(REFUSALS[1])).alias("why")
     )
-    checked = verify_claims(drafted.where("answerable"), chunks, retrieved)
-    good = F.when(F.col("verdict") == "verified", F.struct("statement", "chunk_id", "quote"))
-    claims = checked.groupBy("qid").agg(
+    checked = verify_claims(drafted.where("answerable").select("qid", "statement", "chunk_id", "quote"), record, retrieved)
+    cited = checked.join(record.drop("text"), "chunk_id", "left")
+    good = F.when(F.col("verdict") == "verified", F.struct("statement", "chunk_id", "quote", *RECORD))
+    claims = cited.groupBy("qid").agg(
         F.array_sort(F.collect_list(good)).alias("claims"), F.count_if(F.col("verdict") != "verified").alias("dropped_claims")
     )
-    any_ = retrieved.select("qid").distinct().withColumn("some", F.lit(True))
-    joined = scoped.join(any_, "qid", "left").join(declined, "qid", "left").join(claims, "qid", "left")
+    listed = kept.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))
+    joined = scoped.join(listed, "qid", "left").join(declined, "qid", "left").join(claims, "qid", "left")
     n = F.coalesce(F.size("claims"), F.lit(0))
-    reason = (
-        F.when(F.col("some").isNull(), REFUSALS[0]).when(F.col("why").isNotNull(), F.col("why")).when(n <= 0, REFUSALS[2])
-    )
+    reason = F.when(F.col("r").isNull(), REFUSALS[0]).when(F.col("why").isNotNull(), F.col("why")).when(n <= 0, REFUSALS[2])
     return joined.select(
         "qid",
         "ticker",
@@ -156,5 +187,6 @@ def answer(questions: DataFrame, chunks: DataFrame, entities: DataFrame, drafter
         reason.alias("refusal_reason"),
         F.greatest(n, F.lit(0)).alias("n_verified"),
         F.coalesce("dropped_claims", F.lit(0)).alias("dropped_claims"),
+        F.transform("r", lambda x: x["chunk_id"]).alias("retrieved"),
         "claims",
     )

@@ -16,7 +16,7 @@ from filigree.operators.chunking import pack_chunks
 from filigree.operators.dense import dense_top, hashed_top
 from filigree.operators.extract import html_blocks
 from filigree.operators.search import index_search as index_search_batch
-from filigree.operators.search import search
+from filigree.operators.search import TOP_K, search
 from filigree.operators.sections import detect_headings, fill_forward
 from filigree.plans.checks import SQL
 from filigree.session import scratch, stored, table
@@ -337,15 +337,30 @@ def expected_facts(spark, d):
 
 @query
 def prompts(spark, d):
-    r = retrieved_once(spark, d).where("result_rank <= 3").select("qid", "chunk_id", F.col("result_rank").alias("rank"))
-    made = A.prompts(r.join(chunks_once(spark, d), "chunk_id"))
+    """The retrieved set of each question, up to k; the questions' wording is not in the tables, so its id stands for it."""
+    r = retrieved_once(spark, d).where(F.col("result_rank") <= TOP_K).select("qid", "chunk_id", F.col("result_rank").alias("rank"))
+    asked = r.select("qid", F.col("qid").alias("text")).distinct()
+    made = A.prompts(r.join(chunks_once(spark, d), "chunk_id"), asked)
     return made.select("qid", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
 @query
 def answers(spark, d):
     q = items(spark, d).select(F.col("item_id").alias("qid"), "text")
-    return A.answer(q, chunks_once(spark, d), table(spark, d, "entities")).drop("claims")
+    got = A.answer(q, chunks_once(spark, d), table(spark, d, "entities"))
+    said = F.array_join(F.transform("claims", lambda c: F.concat_ws("|", c["chunk_id"], c["accession_number"], c["section_key"], c["quote"])), "||")
+    return got.select(
+        "qid", "ticker", "answered", "refusal_reason", "n_verified", "dropped_claims", F.array_join("retrieved", " ").alias("retrieved"), F.md5(said).alias("claims")
+    )
+
+
+@query
+def company_answers(spark, d):
+    """Every company's own question: each names one company, which is searched to the full depth."""
+    e = table(spark, d, "entities").where("ticker is not null")
+    q = e.select(F.col("ticker").alias("qid"), F.concat(F.lit("What are the risks of "), "ticker", F.lit("?")).alias("text"))
+    got = A.answer(q, chunks_once(spark, d), table(spark, d, "entities"))
+    return got.select("qid", "ticker", "answered", "refusal_reason", F.array_join("retrieved", " ").alias("retrieved"))
 
 
 # Evaluation
@@ -380,19 +395,50 @@ def rescue_counts(spark, d):
 
 @query
 def crowded_results(spark, d):
+    top, windows = _crowding_tables(spark, d)
+    return E.crowding(top, windows, alike=0.5).withColumn("similarity", F.round("similarity", 4))
+
+
+def _crowding_tables(spark, d) -> tuple[DataFrame, DataFrame]:
     w = table(spark, d, "index_windows").where("embedding is not null").groupBy("window_id").agg(
         F.min("window_map").alias("record_no"), F.first("embedding").alias("e")
     )
     docs = chunks_once(spark, d).select("chunk_id", "record_no")
     windows = w.join(docs, "record_no").select(F.col("chunk_id").alias("doc"), l2_normalize(F.col("e")).alias("v"))
-    top = retrieved_once(spark, d).select("qid", F.col("chunk_id").alias("doc"), F.col("result_rank").alias("rank"))
-    return E.crowding(top, windows, alike=0.5).withColumn("similarity", F.round("similarity", 4))
+    return retrieved_once(spark, d).select("qid", F.col("chunk_id").alias("doc"), F.col("result_rank").alias("rank")), windows
 
 
 @query
-def top_score_median(spark, d):
-    best = retrieved_once(spark, d).where("not isnan(score)").groupBy("qid").agg(F.max("score").alias("s"))
-    return best.agg(F.count(F.lit(1)).alias("n_questions"), F.round(F.median("s"), 6).alias("median_top_score"))
+def crowding_count(spark, d):
+    return E.crowded_questions(*_crowding_tables(spark, d))
+
+
+@query
+def gold_decoy_medians(spark, d):
+    """The first result's score of the questions that a claim answers, and of the others."""
+    r = retrieved_once(spark, d)
+    answered = _acceptable(spark, d).select("qid").distinct().withColumn("kind", F.lit("gold"))
+    kinds = r.select("qid").distinct().join(answered, "qid", "left").select("qid", F.coalesce("kind", F.lit("decoy")).alias("kind"))
+    best = r.where("not isnan(score)").select("qid", "score")
+    return E.first_score_medians(best, kinds).withColumn("median_score", F.round("median_score", 6))
+
+
+@query
+def gold_evaluation(spark, d):
+    """Every claim's wording asked as a question, its chunk the one that should come: the three methods end to end."""
+    claims = claims_once(spark, d).where("claim_text is not null and chunk_id is not null")
+    gold = claims.select(
+        F.col("claim_id").cast("string").alias("qid"),
+        F.col("claim_text").alias("query"),
+        F.lit(None).cast("map<string,string>").alias("filters"),
+        F.array("chunk_id").alias("acceptable"),
+    )
+    chunks, entities = stored(chunks_once(spark, d)), table(spark, d, "entities")
+    path = scratch(spark, "index")
+    I.build_index(chunks, entities, chunks.select(F.col("accession_number").alias("path"), F.col("source_sha256").alias("sha256")), path)
+    index = I.load_index(spark, path)
+    found = E.evaluate_retrieval(lambda q, method, k, f: index_search_batch(index, q, k=k, method=method, filters=f), gold, gold.limit(0))
+    return found["metrics"].select("method", "n_questions", *[F.round(c, 9).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
 
 
 @query

@@ -118,21 +118,78 @@ ha AS (
 """
 
 
-def hybrid(by: str, keep: str = "true") -> str:
-    return f"""WITH {ENRICHED},
+def lists(keep: str = "true", questions: str = "eval_items") -> str:
+    """CTEs ``b50`` and ``h50``: both methods' fifty best of each question."""
+    return f"""{ENRICHED.replace("FROM eval_items", f"FROM {questions}")},
 b50 AS ({best(f"(SELECT bm.* FROM bm JOIN c USING (chunk_id) WHERE {keep})", 50)}),
 h50 AS ({best(f"(SELECT ha.* FROM ha JOIN c USING (chunk_id) WHERE {keep})", 50)}),
 f AS (
   SELECT item_id, chunk_id, coalesce(1.0 / (5 + b50.rank), 0) + coalesce(1.0 / (5 + h50.rank), 0) AS fused, b50.rank AS bm25_rank,
     b50.score AS bm25_score, h50.rank AS embed_rank, h50.score AS embed_score
   FROM b50 FULL JOIN h50 USING (item_id, chunk_id)
-),
+)"""
+
+
+def hybrid(by: str, keep: str = "true") -> str:
+    return f"""WITH {lists(keep)},
 g AS (SELECT *, {by} AS score FROM f WHERE {by} IS NOT NULL)
 SELECT item_id, chunk_id, rank, round(score, 6) AS score, bm25_rank, round(bm25_score, 6) AS bm25_score, embed_rank,
   round(embed_score, 6) AS embed_score
 FROM ({best("g", 8)})"""
 
 
+def scoped(questions: str) -> str:
+    """CTEs ``alias`` and ``sc(item_id, ticker)``: the one company that a question names."""
+    return f"""
+names AS (SELECT ticker, coalesce(nullif(max(entity_name), ''), ticker) AS name FROM entities WHERE ticker IS NOT NULL GROUP BY ticker),
+nw AS (SELECT ticker, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM names),
+ns AS (
+  SELECT ticker, array_to_string(list_filter(w, lambda x: x NOT IN ('inc', 'corp', 'corporation', 'ltd', 'llc', 'co', 'usa', 'plc', 'sa')), ' ') AS short,
+    array_to_string(w, ' ') AS whole FROM nw
+),
+alias AS (
+  SELECT alias, coalesce(max(ticker) FILTER (strong), min(ticker)) AS ticker FROM (
+    SELECT ticker, lower(ticker) AS alias, true AS strong FROM ns UNION ALL SELECT ticker, short, true FROM ns
+    UNION ALL SELECT ticker, whole, false FROM ns WHERE short <> '') WHERE alias <> '' GROUP BY alias
+),
+sq AS (SELECT DISTINCT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS s FROM {questions}),
+sc AS (
+  SELECT item_id, CASE WHEN count(DISTINCT alias.ticker) = 1 THEN min(alias.ticker) END AS ticker
+  FROM sq LEFT JOIN alias ON contains(s, ' ' || alias || ' ') GROUP BY item_id
+)"""
+
+
+def answered(questions: str) -> str:
+    """CTE ``ans``: what each question retrieves within its company, and what the first-sentence drafter makes of it."""
+    inner = "(SELECT x.* FROM {} x JOIN c USING (chunk_id) JOIN sc USING (item_id) WHERE sc.ticker IS NULL OR upper(c.ticker) = sc.ticker)"
+    return f"""{scoped(questions)}, {ENRICHED.replace("FROM eval_items", f"FROM {questions}")},
+b50 AS ({best(inner.format("bm"), 50)}),
+h50 AS ({best(inner.format("ha"), 50)}),
+f AS (
+  SELECT item_id, chunk_id, coalesce(1.0 / (5 + b50.rank), 0) + coalesce(1.0 / (5 + h50.rank), 0) AS score
+  FROM b50 FULL JOIN h50 USING (item_id, chunk_id)
+),
+got AS ({best("f", 8)}),
+cl AS (
+  SELECT item_id, rank, chunk_id, accession_number, section_key,
+    coalesce(nullif(regexp_extract(rich.text, '(?s)^(.{{1,400}}?[.!?])(?:\\s|$)', 1), ''), CASE WHEN length(rich.text) <= 400 THEN rich.text END, '') AS quote
+  FROM got JOIN rich USING (chunk_id)
+),
+cv AS (SELECT *, length({strip("quote")}) >= 15 AND rank <= 3 AS good FROM cl),
+ca AS (
+  SELECT item_id, count(*) FILTER (good) AS n_verified, count(*) FILTER (rank <= 3 AND NOT good) AS dropped_claims,
+    string_agg(chunk_id, ' ' ORDER BY rank) AS retrieved,
+    coalesce(string_agg(concat_ws('|', chunk_id, accession_number, section_key, quote), '||' ORDER BY quote, chunk_id) FILTER (good), '') AS said
+  FROM cv GROUP BY item_id
+),
+ans AS (
+  SELECT item_id, ticker, coalesce(n_verified, 0) > 0 AS answered, retrieved, said, coalesce(n_verified, 0) AS n_verified,
+    coalesce(dropped_claims, 0) AS dropped_claims,
+    CASE WHEN retrieved IS NULL THEN 'retrieval_empty' WHEN n_verified = 0 THEN 'all_claims_unverified' END AS refusal_reason
+  FROM sc LEFT JOIN ca USING (item_id)
+)"""
+
+
 HEADING = "'(?i)^(item\\s+\\d{1,2}|part\\s+(?:i{1,3}|iv)\\b)'"
 LABELLED = f"""
 b AS ({BLOCKS}),
@@ -174,6 +231,19 @@ g AS (
 )
 """
 
+CROWDED = f"""c AS ({CHUNKS}), r AS ({RETRIEVED}),
+w AS (SELECT window_id, min(window_map) AS record_no, any_value(embedding)::DOUBLE[96] AS e FROM index_windows
+  WHERE embedding IS NOT NULL AND (list_max(embedding) > 0 OR list_min(embedding) < 0) GROUP BY 1),
+d AS (SELECT chunk_id, e FROM w JOIN c USING (record_no)),
+p AS (
+  SELECT a.qid, a.chunk_id AS doc_a, b.chunk_id AS doc_b FROM r a JOIN r b ON a.qid = b.qid AND a.result_rank < b.result_rank
+  WHERE a.result_rank <= 5 AND b.result_rank <= 5
+),
+z AS (
+  SELECT qid, doc_a, doc_b, max(array_cosine_similarity(x.e, y.e)) AS similarity
+  FROM p JOIN d x ON x.chunk_id = doc_a JOIN d y ON y.chunk_id = doc_b GROUP BY 1, 2, 3
+)"""
+
 SQL = {
     "normalized_blocks": f"WITH b AS ({BLOCKS}) SELECT doc, ord, {norm('text')} AS norm, {canon('text')} AS canonical FROM b",
     "decoded_bytes": f"WITH b AS ({BLOCKS}) SELECT doc, ord, text, CASE WHEN text IS NOT NULL THEN 'utf-8' END AS encoding, sha256(text) AS sha256 FROM b",
@@ -250,20 +320,26 @@ n AS (SELECT DISTINCT accession_number AS path, sha256 AS now FROM filings)
 SELECT path, CASE WHEN now IS NULL THEN 'missing' WHEN was IS NULL THEN 'new' ELSE 'changed' END AS problem
 FROM r FULL JOIN n USING (path) WHERE was IS DISTINCT FROM now""",
     "repeated_deliveries": "SELECT chunk_id, count(*) AS n FROM chunks GROUP BY chunk_id HAVING count(*) > 1",
-    "scoped_questions": f"""
-WITH e AS (
-  SELECT DISTINCT ticker, regexp_extract_all(lower({norm("coalesce(entity_name, '')")}), '[a-z0-9]+') AS w FROM entities WHERE ticker IS NOT NULL
-),
-x AS (
-  SELECT lower(ticker) AS alias, 0 AS p, min(ticker) AS ticker FROM e GROUP BY 1
-  UNION ALL SELECT array_to_string(w, ' '), 1, min(ticker) FROM e WHERE len(w) > 0 GROUP BY 1
-  UNION ALL SELECT alias, 2, max(ticker) FROM (SELECT ticker, unnest(w) AS alias FROM e) WHERE alias NOT IN
-    ('inc', 'corp', 'corporation', 'company', 'co', 'ltd', 'limited', 'plc', 'llc', 'holdings', 'group', 'the', 'and', 'of') GROUP BY 1
+    "scoped_questions": f"WITH {scoped('eval_items')} SELECT item_id, ticker FROM sc",
+    "answers": f"""WITH {answered("eval_items")}
+SELECT item_id AS qid, ticker, answered, refusal_reason, n_verified, dropped_claims, retrieved, md5(said) AS claims FROM ans""",
+    "company_answers": f"""WITH cq AS (SELECT ticker AS item_id, 'What are the risks of ' || ticker || '?' AS text FROM entities WHERE ticker IS NOT NULL),
+{answered("cq")} SELECT item_id AS qid, ticker, answered, refusal_reason, retrieved FROM ans""",
+    "gold_evaluation": f"""WITH v AS ({CLAIMS}),
+gq AS (SELECT claim_id AS item_id, claim_text AS text, chunk_id AS wanted FROM v WHERE claim_text IS NOT NULL AND chunk_id IS NOT NULL),
+{lists("true", "gq")},
+m AS (
+  SELECT 'bm25' AS method, item_id, chunk_id, bm25_rank AS rank FROM f WHERE bm25_rank <= 10
+  UNION ALL SELECT 'embed', item_id, chunk_id, embed_rank FROM f WHERE embed_rank <= 10
+  UNION ALL SELECT 'fused', item_id, chunk_id, rank FROM ({best("f", 10, "fused")})
 ),
-a AS (SELECT alias, arg_min(ticker, p) AS ticker FROM x GROUP BY alias),
-q AS (SELECT DISTINCT item_id, ' ' || array_to_string(regexp_extract_all(lower({norm("text")}), '[a-z0-9]+'), ' ') || ' ' AS q FROM eval_items)
-SELECT item_id, CASE WHEN count(DISTINCT ticker) = 1 THEN min(ticker) END AS ticker
-FROM q LEFT JOIN a ON contains(q, ' ' || alias || ' ') GROUP BY item_id""",
+h AS (
+  SELECT x.method, gq.item_id, min(rank) AS r
+  FROM gq CROSS JOIN (VALUES ('bm25'), ('embed'), ('fused')) x(method) LEFT JOIN m ON m.method = x.method AND m.item_id = gq.item_id AND m.chunk_id = wanted
+  GROUP BY 1, 2
+)
+SELECT method, count(*) AS n_questions, round(avg(coalesce((r <= 5)::INT, 0)), 9) AS recall_at_5, round(avg(coalesce((r <= 10)::INT, 0)), 9) AS recall_at_10,
+  round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 9) AS mrr FROM h GROUP BY method""",
     "quote_verdicts": f"WITH {VERDICT} SELECT claim_id, {verdict('known')} AS verdict FROM t",
     "claims_grouped": f"""WITH {VERDICT}, x AS (SELECT qid, {verdict("known AND fetched")} AS verdict FROM t)
 SELECT qid, count(*) AS n_claims, count(*) FILTER (verdict = 'verified') AS n_verified, count(*) FILTER (verdict <> 'verified') AS dropped_claims,
@@ -273,11 +349,14 @@ FROM x GROUP BY qid""",
 SELECT claim_id, regexp_matches(h, '(?i)\\$[0-9.,]+') AND regexp_matches(h, '(?i)(fiscal|quarter) ') AS all_present FROM h""",
     "prompts": f"""WITH c AS ({CHUNKS}), r AS ({RETRIEVED}),
 p AS (
-  SELECT qid, result_rank, '[' || chunk_id || '] ' || coalesce(ticker, 'null') || ' ' || coalesce(section_title, 'null') || chr(10)
-    || coalesce(text, 'null') AS p
-  FROM r JOIN c USING (chunk_id) WHERE result_rank <= 3
+  SELECT qid, result_rank, '[' || chunk_id || '] ' || coalesce(ticker, '') || ' ' || coalesce(form, '') || ' filed ' || coalesce(filing_date, '')
+    || ' — ' || coalesce(section_title, '') || chr(10) || coalesce(text, '') AS p
+  FROM r JOIN c USING (chunk_id) WHERE result_rank <= 8
 ),
-g AS (SELECT qid, string_agg(p, chr(10) || '---' || chr(10) ORDER BY result_rank, p) AS prompt FROM p GROUP BY qid)
+g AS (
+  SELECT qid, 'Question: ' || qid || chr(10) || chr(10) || 'Chunks:' || chr(10) || chr(10)
+    || string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY result_rank, p) AS prompt FROM p GROUP BY qid
+)
 SELECT qid, length(prompt) AS n_chars, md5(prompt) AS digest FROM g""",
     "gold_metrics": f"""WITH {HITS} SELECT method, n_questions, round(recall_at_5, 9) AS recall_at_5, round(recall_at_10, 9) AS recall_at_10,
   round(mrr, 9) AS mrr FROM g""",
@@ -285,21 +364,17 @@ SELECT qid, length(prompt) AS n_chars, md5(prompt) AS digest FROM g""",
 SELECT 'recall_at_5' AS bar, recall_at_5 >= 0.85 AS passed FROM f UNION ALL SELECT 'recall_at_10', recall_at_10 >= 1.0 FROM f
 UNION ALL SELECT 'fused_not_worse', recall_at_5 >= (SELECT max(recall_at_5) FROM g) FROM f""",
     "rescue_counts": f"""WITH {HITS},
-x AS (SELECT qid, coalesce(max(CASE WHEN method = 'bm25' THEN hit_rank <= 5 END), false) AS b,
+x AS (SELECT qid, coalesce(max(CASE WHEN method = 'fused' THEN hit_rank <= 5 END), false) AS f,
+  coalesce(max(CASE WHEN method = 'bm25' THEN hit_rank <= 5 END), false) AS b,
   coalesce(max(CASE WHEN method = 'embed' THEN hit_rank <= 5 END), false) AS e FROM h GROUP BY qid)
-SELECT count(*) FILTER (b AND NOT e) AS rescued_by_bm25, count(*) FILTER (e AND NOT b) AS rescued_by_embed FROM x""",
-    "crowded_results": f"""WITH c AS ({CHUNKS}), r AS ({RETRIEVED}),
-w AS (SELECT window_id, min(window_map) AS record_no, any_value(embedding)::DOUBLE[96] AS e FROM index_windows
-  WHERE embedding IS NOT NULL AND (list_max(embedding) > 0 OR list_min(embedding) < 0) GROUP BY 1),
-d AS (SELECT chunk_id, e FROM w JOIN c USING (record_no)),
-p AS (
-  SELECT a.qid, a.chunk_id AS doc_a, b.chunk_id AS doc_b FROM r a JOIN r b ON a.qid = b.qid AND a.result_rank < b.result_rank
-  WHERE a.result_rank <= 5 AND b.result_rank <= 5
-)
-SELECT qid, doc_a, doc_b, round(max(array_cosine_similarity(x.e, y.e)), 4) AS similarity
-FROM p JOIN d x ON x.chunk_id = doc_a JOIN d y ON y.chunk_id = doc_b GROUP BY 1, 2, 3 HAVING max(array_cosine_similarity(x.e, y.e)) >= 0.5""",
-    "top_score_median": f"""WITH r AS ({RETRIEVED}), b AS (SELECT qid, max(score) AS s FROM r WHERE NOT isnan(score) GROUP BY qid)
-SELECT count(*) AS n_questions, round(median(s), 6) AS median_top_score FROM b""",
+SELECT count(*) FILTER (f AND NOT e) AS rescued_by_bm25, count(*) FILTER (f AND NOT b) AS rescued_by_embed FROM x""",
+    "crowded_results": f"""WITH {CROWDED} SELECT qid, doc_a, doc_b, round(similarity, 4) AS similarity FROM z WHERE similarity >= 0.5""",
+    "crowding_count": f"""WITH {CROWDED}
+SELECT (SELECT count(DISTINCT qid) FROM r) AS n_questions, count(DISTINCT qid) AS n_crowded FROM z WHERE similarity >= 0.97""",
+    "gold_decoy_medians": f"""WITH r AS ({RETRIEVED}), v AS ({CLAIMS}),
+b AS (SELECT qid, coalesce(max(CASE WHEN NOT isnan(score) THEN score END), 0) AS s FROM r GROUP BY qid)
+SELECT CASE WHEN qid IN (SELECT qid FROM v WHERE qid IS NOT NULL AND chunk_id IS NOT NULL) THEN 'gold' ELSE 'decoy' END AS kind,
+  count(*) AS n_questions, round(median(s), 6) AS median_score FROM b GROUP BY 1""",
     "scope_check": f"""WITH c AS ({CHUNKS}), r AS ({RETRIEVED})
 SELECT r.qid AS case_id, count(c.chunk_id) AS n_hits,
   coalesce(count(c.chunk_id) > 0 AND count(*) FILTER (c.chunk_id IS NOT NULL AND coalesce(upper(c.form) <> '10-K', true)) = 0, false) AS in_scope

@@ -10,12 +10,12 @@ CHUNKS = [
     ("c2", "ACM", "10-Q", "Risk Factors", "item_1a", "Launch delays could hurt our results of operations badly.", "s1"),
     ("c3", "GLX", "10-K", "Business", "item_1", "Globex sells weather machines to many governments.", "s2"),
 ]
-ENTITIES = [("ACM", "Acme Rockets Inc"), ("GLX", "Globex Corp"), ("NUL", None), ("EMP", "")]
+ENTITIES = [("ACM", "Acme Inc."), ("GLX", "Globex Corp"), ("NUL", None), ("EMP", "")]
 
 
 @pytest.fixture(scope="module")
 def chunks(spark):
-    return spark.createDataFrame(CHUNKS, "chunk_id string, ticker string, form string, section_title string, section_key string, text string, source_sha256 string")
+    return spark.createDataFrame(CHUNKS, "chunk_id string, ticker string, form string, section_title string, section_key string, text string, source_sha256 string").withColumns({"char_start": F.lit(0), "char_end": F.lit(60)})
 
 
 @pytest.fixture(scope="module")
@@ -33,10 +33,32 @@ def test_scope(spark, entities):
     assert got == {0: "ACM", 1: "GLX", 2: None, 3: None, 4: None, 5: None}
 
 
+def test_aliases_are_whole_names(spark):
+    named = spark.createDataFrame([("BLB", "Bravo Lake Bank Co."), ("RKL", "Rocket Lab USA, Inc."), ("ZZ", "RKL Corp"), ("QQ", "The Co"), ("SA", "SA Inc")], "ticker string, entity_name string")
+    got = {r.alias: r.ticker for r in A.aliases(named).collect()}
+    assert got == {
+        "blb": "BLB", "bravo lake bank": "BLB", "bravo lake bank co": "BLB", "rocket lab": "RKL", "rocket lab usa inc": "RKL", "rkl": "ZZ", "rkl corp": "ZZ",
+        "zz": "ZZ", "qq": "QQ", "the": "QQ", "the co": "QQ", "sa": "SA",
+    }
+    q = questions(spark, "Is the lake frozen?", "What does Bravo Lake Bank lend?", "rocket-lab launches", "Lab results")
+    got = {r.qid: r.ticker for r in A.scope(q, named.where("ticker <> 'QQ'")).collect()}
+    assert got == {0: None, 1: "BLB", 2: "RKL", 3: None}
+
+
+def test_prompt(spark):
+    rows = [("q", 2, "c2", "A", None, "2024", "Risk", "two"), ("q", 1, "c1", "A", "10-K", "2024", "Business", "one")]
+    retrieved = spark.createDataFrame(rows, "qid string, rank int, chunk_id string, ticker string, form string, filing_date string, section_title string, text string")
+    asked = spark.createDataFrame([("q", "why?")], "qid string, text string")
+    assert A.prompts(retrieved, asked).first().prompt == (
+        "Question: why?\n\nChunks:\n\n[c1] A 10-K filed 2024 — Business\none\n\n---\n\n[c2] A  filed 2024 — Risk\ntwo"
+    )
+
+
 def test_answers_and_refusals(spark, chunks, entities):
     got = {r.qid: r for r in A.answer(questions(spark, "What does Acme build?", "weather machines"), chunks, entities, k=2).collect()}
     assert got[0].answered and got[0].ticker == "ACM" and {c.chunk_id for c in got[0].claims} == {"c1", "c2"}
     assert got[1].answered and got[1].ticker is None
+    assert got[0].claims[0].source_sha256 == "s1" and got[0].claims[0].char_end == 60 and set(got[0].retrieved) == {"c1", "c2"}
 
     class Liar:
         model_id = "liar"
@@ -71,7 +93,27 @@ def test_metrics(spark):
     assert m["fused"].recall_at_5 == pytest.approx(1 / 3) and m["fused"].recall_at_10 == pytest.approx(2 / 3)
     assert m["fused"].mrr == pytest.approx((1 + 1 / 7) / 3)
     assert {r.bar: r.passed for r in E.bars(E.retrieval_metrics(hits)).collect()} == {"recall_at_5": False, "recall_at_10": False, "fused_not_worse": True}
-    assert tuple(E.rescues(hits).first()) == (1, 0)
+    assert tuple(E.rescues(hits).first()) == (1, 1)
+
+
+def test_gold_set_end_to_end(spark, chunks, entities):
+    from filigree.operators.search import search
+
+    kind = "qid string, type string, query string, filters map<string,string>, acceptable array<string>"
+    gold = spark.createDataFrame([("g1", "x", "small rockets", None, ["c1"]), ("g2", "x", "launch delays", {"form": "10-q"}, ["c2"]), ("g3", "x", "weather", {}, ["c3"])], kind)
+    decoys = spark.createDataFrame([("d1", "off_corpus", "zebra", None, None)], kind)
+
+    def ask(q, method, k, filters):
+        return search(chunks, q, k=k, method=method, filters=filters, entities=entities)
+
+    windows = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.99, 0.1411]), ("c3", [0.0, 1.0])], "doc string, v array<double>")
+    got = E.evaluate_retrieval(ask, gold, decoys, windows)
+    assert got["same"] and got["passed"] and {r.recall_at_5 for r in got["metrics"].collect()} == {1.0}
+    medians = {r.kind: r.median_score for r in got["medians"].collect()}
+    assert set(medians) == {"gold", "decoy"} and medians["decoy"] < medians["gold"]
+    assert tuple(got["crowded"].first()) == (3, 2)
+    wrong = gold.withColumn("acceptable", F.array(F.lit("c9")))
+    assert not E.evaluate_retrieval(ask, wrong, decoys)["passed"]
 
 
 def test_audit(spark, chunks):
@@ -112,12 +154,13 @@ def test_suite(spark, chunks, entities):
         {"id": "c1", "type": "correctness", "question": "What does Acme build?", "expected_facts": ["small ROCKETS"]},
         {"id": "c2", "type": "correctness", "question": "What does Acme build?", "expected_facts": ["submarines"]},
         {"id": "r1", "type": "refusal", "question": "EMP?", "category": "x", "expected_reason": "retrieval_empty"},
-        {"id": "b1", "type": "robustness", "questions": ["Acme rockets?", "rockets of Acme"], "expected_refused": False},
+        {"id": "b1", "type": "robustness", "questions": ["Acme rockets?", "rockets of Acme"], "expected_refused": False, "expected_facts": ["rockets"]},
+        {"id": "b2", "type": "robustness", "questions": ["Acme rockets?", "rockets of Acme"], "expected_refused": False, "expected_facts": ["submarines"]},
         {"id": "f1", "type": "filter", "query": "launch", "expected_form": "10-Q"},
         {"id": "f2", "type": "filter", "query": "launch", "expected_form": "20-F"},
     ]
     cases = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], CASE)
     out = harness.outcomes(cases, chunks, entities, k=3)
     passed = {r.case_id: r.ok for r in out.groupBy("case_id").agg(F.bool_and("ok").alias("ok")).collect()}
-    assert passed == {"c1": True, "c2": False, "r1": True, "b1": True, "f1": True, "f2": False}
+    assert passed == {"c1": True, "c2": False, "r1": True, "b1": True, "b2": False, "f1": True, "f2": False}
     assert {r.type: (r.n_cases, r.n_passed) for r in harness.report(out).collect()}["filter"] == (2, 1)

@@ -170,3 +170,27 @@ def verify_spans(df: DataFrame, doc: str, start: str, end: str, text: str, inclu
             )
 
     return df.withColumn(name, check(F.col(doc), F.col(start).cast("double"), F.col(end).cast("double"), F.col(text)))
+
+
+def verify_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``doc, chunk_order, ok``: whether each chunk's span of ``docs(doc, html)`` gives its text back.
+
+    A document's markup meets all its chunks at once, in one row.
+    """
+    spans = chunks.groupBy("doc").agg(F.collect_list(F.struct("chunk_order", "char_start", "char_end", "text")).alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, order, ok = [], [], []
+            for i, (html_text, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for c in found:
+                    at.append(i)
+                    order.append(c["chunk_order"])
+                    known = None not in (c["char_start"], c["char_end"])
+                    ok.append(known and round_trips(html_text, c["char_start"], c["char_end"], c["text"], False))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(order, pa.int32()), pa.array(ok, pa.bool_())], names=["doc", "chunk_order", "ok"]
+            )
+
+    kind = dict(docs.select("doc").dtypes)["doc"]
+    return docs.select("doc", "html").join(spans, "doc").mapInArrow(run, f"doc {kind}, chunk_order int, ok boolean")

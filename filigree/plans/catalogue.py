@@ -17,7 +17,7 @@ from filigree.operators.dense import dense_top, hashed_top
 from filigree.operators.extract import html_blocks
 from filigree.operators.search import index_search as index_search_batch
 from filigree.operators.search import TOP_K, search
-from filigree.operators.sections import detect_headings, fill_forward
+from filigree.operators.sections import assign_sections, detect_headings
 from filigree.plans.checks import SQL
 from filigree.session import scratch, stored, table
 from filigree.sources import filings as S
@@ -80,9 +80,12 @@ def normalized_blocks(spark, d):
 @query
 def decoded_bytes(spark, d):
     """Round trip of block texts through bytes: UTF-8 as it is, and cut so that it must be Latin-1."""
-    raw = blocks_once(spark, d).select("doc", "ord", F.encode("text", "UTF-8").alias("raw"))
+    whole = blocks_once(spark, d).select("doc", "ord", F.encode("text", "UTF-8").alias("raw"))
+    # A last byte that begins a sequence and no more is no UTF-8.
+    cut_off = whole.select("doc", "ord", F.concat("raw", F.lit(b"\xe9")).alias("raw"))
+    raw = whole.withColumn("cut_off", F.lit(False)).unionByName(cut_off.withColumn("cut_off", F.lit(True)))
     x = X.decode_bytes(F.col("raw"))
-    return raw.select("doc", "ord", x["text"].alias("text"), x["encoding"].alias("encoding"), F.sha2("raw", 256).alias("sha256"))
+    return raw.select("doc", "ord", "cut_off", x["text"].alias("text"), x["encoding"].alias("encoding"), F.sha2("raw", 256).alias("sha256"))
 
 
 @query
@@ -226,15 +229,13 @@ def hashed_vectors(spark, d):
 
 # Structure
 
-HEADING = r"(?i)^(item\s+\d{1,2}|part\s+(?:i{1,3}|iv)\b)"
+def _forms(spark, d) -> DataFrame:
+    return table(spark, d, "filings").groupBy(F.col("accession_number").alias("doc")).agg(F.min("form").alias("form"))
 
 
 def _labelled(spark, d) -> DataFrame:
-    b = blocks_once(spark, d)
-    mark = F.when(~F.col("in_table") & F.col("text").rlike(HEADING), F.lower(F.regexp_extract("text", HEADING, 1)))
-    return b.select("doc", "ord", "text", "char_start", "char_end", "in_table", mark.alias("mark")).select(
-        "doc", "ord", "text", "char_start", "char_end", "in_table", fill_forward(F.col("mark"), "preamble").alias("section_key")
-    )
+    blocks = stored(blocks_once(spark, d).join(_forms(spark, d), "doc", "left"))
+    return assign_sections(blocks, detect_headings(blocks))
 
 
 @query
@@ -244,17 +245,62 @@ def section_ffill(spark, d):
 
 @query
 def packed_chunks(spark, d):
-    packed = pack_chunks(_labelled(spark, d).withColumn("section_title", F.col("section_key")))
+    packed = pack_chunks(_labelled(spark, d))
     return packed.select("doc", "chunk_order", "section_key", "n_blocks", "char_start", "char_end", "oversized", F.length("text").alias("n_chars"))
 
 
 @query
 def heading_chains(spark, d):
-    forms = table(spark, d, "filings").groupBy("accession_number").agg(F.min("form").alias("form"))
-    b = blocks_once(spark, d).join(forms, F.col("doc") == F.col("accession_number"))
+    b = stored(blocks_once(spark, d).join(_forms(spark, d), "doc"))
     return detect_headings(b).select("doc", "ord", "key", "is_part")
 
 
+def _markup(text, ord_, in_table):
+    """A block as markup that a reader sees as its text: nested tags, hidden parts, breaks, comments, stray ends, references."""
+    e = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    ways = [
+        F.concat(F.lit("<p>"), e, F.lit("</p>")),
+        F.concat(F.lit('<div class="a"><span><b>'), e, F.lit("</b></span></div>")),
+        F.concat(F.lit('<p><span style="color:red; display : none">unseen <i>words</i></span>'), e, F.lit("<script>if (a < b) {}</script></p>")),
+        F.concat(F.lit("<p><!-- a <p> comment -->"), e, F.lit("</i></td></p>")),
+        F.concat(F.lit("<p>"), F.replace(e, F.lit(" "), F.lit("<br/>")), F.lit("</p>")),
+        F.concat(F.lit("<LI>"), F.replace(e, F.lit(" "), F.lit("&#160;")), F.lit("</LI>")),
+        F.concat(F.lit("<p>"), F.replace(F.replace(e, F.lit("—"), F.lit("&mdash;")), F.lit("’"), F.lit("&#x2019;"))),
+    ]
+    way = F.when(in_table, F.concat(F.lit("<table><tr><td><p>"), e, F.lit("</p></td></tr></table>")))
+    for n, w in enumerate(ways):
+        way = way.when(ord_ % len(ways) == n, w)
+    return way
+
+
+def _documents(spark, d) -> DataFrame:
+    """Each filing with its blocks as an HTML document; of those of unknown size the recorded hash is not the bytes'."""
+    b = blocks_once(spark, d).select("doc", F.struct("ord", _markup(F.col("text"), F.col("ord"), F.col("in_table")).alias("h")).alias("b"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["h"]), "\n")
+    head = "<!DOCTYPE html><html><head><title>Unseen</title><style>p {color: red}</style></head><body>"
+    html = b.groupBy("doc").agg(F.concat(F.lit(head), body, F.lit("</body></html>")).alias("html"))
+    fields = "ticker cik form filing_date report_date stored_filename size_bytes".split()
+    f = once(table(spark, d, "filings"), ["accession_number"], fields).join(html, F.col("doc") == F.col("accession_number"))
+    sealed = F.sha2("html", 256)
+    return f.select(
+        "accession_number", *fields, F.encode("html", "UTF-8").alias("content"), F.when(F.col("size_bytes").isNull(), F.lit("other")).otherwise(sealed).alias("sha256")
+    )
+
+
+@query
+def parse_manifest(spark, d):
+    _, manifest = S.parse_filings(stored(_documents(spark, d)))
+    return manifest
+
+
+@query
+def parsed_chunks(spark, d):
+    records, _ = S.parse_filings(stored(_documents(spark, d)))
+    return records.select(
+        "chunk_id", "ticker", "form", "encoding", "section_key", "section_title", "chunk_order", "n_blocks", "oversized", F.md5("text").alias("digest")
+    )
+
+
 @query
 def html_roundtrip(spark, d):
     """Blocks written as HTML and extracted again: the same texts, and spans that give them back."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+
+from filigree.operators.sections import ALIKE, ITEM_PATTERN, PART_PATTERN, slot_rows
+
 ZERO_WIDTH = "chr(8203) || chr(65279)"
 SPACE = (
     "'[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'"
@@ -190,13 +194,111 @@ ans AS (
 )"""
 
 
-HEADING = "'(?i)^(item\\s+\\d{1,2}|part\\s+(?:i{1,3}|iv)\\b)'"
+# What the tables' headings say after their number; which titles it resembles is the matching-blocks ratio's to say.
+TRAILING = (
+    "Management Discussion and Analysis", "Risk Factors", "Financial Statements", "Exhibits", "Legal Proceedings", "Market Risk Disclosures", "Business",
+    "Cybersecurity", "Controls and Procedures", "Unresolved Staff Comments", "usiness",
+)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SLOT_VALUES = ", ".join(
+    f"({quoted(form)}, {quoted(token)}, {seq}, {quoted(key)}, {quoted(title)}, {is_part})" for form, token, seq, key, title, is_part in slot_rows()
+)
+ALIKE_VALUES = ", ".join(
+    f"({quoted(t)}, {quoted(title)})"
+    for t in TRAILING
+    for title in sorted({r[4] for r in slot_rows()})
+    if difflib.SequenceMatcher(None, t.casefold(), title.casefold()).ratio() >= ALIKE
+)
+_ITEM, _PART = quoted(ITEM_PATTERN), quoted(PART_PATTERN)
+
+
+def headings(blocks: str = "b") -> str:
+    """CTEs up to ``hd(doc, ord, key, title, is_part)``, the heaviest chain of each document of ``blocks(doc, ord, text, in_table, form)``."""
+    return f"""
+slot(form, token, seq, key, title, is_part) AS (VALUES {SLOT_VALUES}),
+alike(said, title) AS (VALUES {ALIKE_VALUES}),
+mk AS (
+  SELECT doc, ord, form, regexp_matches(text, {_ITEM}) AS is_item, regexp_extract(text, {_ITEM}, 3) AS said,
+    CASE WHEN regexp_matches(text, {_ITEM}) THEN 'ITEM' || regexp_extract(text, {_ITEM}, 1) || upper(regexp_extract(text, {_ITEM}, 2))
+      WHEN regexp_matches(text, {_PART}) THEN 'PART' || upper(regexp_extract(text, {_PART}, 1)) END AS token
+  FROM {blocks} WHERE NOT coalesce(in_table, false)
+),
+cd AS (
+  SELECT doc, ord, seq, key, slot.title, is_part,
+    CASE WHEN is_part THEN 1.5 WHEN is_item AND alike.title IS NOT NULL THEN 1.5 ELSE 1.0 END AS weight,
+    row_number() OVER (PARTITION BY doc ORDER BY ord, seq) AS i
+  FROM mk JOIN slot USING (form, token) LEFT JOIN alike ON lower(alike.said) = lower(mk.said) AND alike.title = slot.title
+  WHERE NOT is_item OR length(mk.said) <= 120
+),
+ls AS (SELECT doc, list(ord ORDER BY i) AS o, list(seq ORDER BY i) AS q, list(weight ORDER BY i) AS w FROM cd GROUP BY doc),
+dp AS (
+  SELECT doc, 0 AS n, []::DOUBLE[] AS best, []::INT[] AS back FROM ls
+  UNION ALL
+  SELECT doc, n + 1, list_append(best, w[n + 1] + coalesce(list_max(list_transform(js, lambda j: best[j])), 0)),
+    list_append(back, coalesce(list_filter(js, lambda j: best[j] = list_max(list_transform(js, lambda k: best[k])))[1], 0)::INT)
+  FROM (
+    SELECT dp.*, o, q, w, list_filter(range(1, n + 1), lambda j: o[j] < o[n + 1] AND q[j] < q[n + 1]) AS js
+    FROM dp JOIN ls USING (doc) WHERE n < len(o)
+  )
+),
+done AS (SELECT doc, best, back FROM dp JOIN ls USING (doc) WHERE n = len(o)),
+tr AS (
+  SELECT doc, list_position(best, list_max(best))::INT AS i, back FROM done
+  UNION ALL SELECT doc, back[i], back FROM tr WHERE back[i] > 0
+),
+hd AS (SELECT cd.doc, ord, key, title, is_part FROM cd JOIN tr ON tr.doc = cd.doc AND tr.i = cd.i)
+"""
+
+
+FORMS = "SELECT accession_number AS doc, min(form) AS form FROM filings GROUP BY 1"
 LABELLED = f"""
-b AS ({BLOCKS}),
-m AS (SELECT *, CASE WHEN NOT in_table AND regexp_matches(text, {HEADING}) THEN lower(regexp_extract(text, {HEADING}, 1)) END AS mark FROM b),
+b AS (SELECT x.*, form FROM ({BLOCKS}) x LEFT JOIN ({FORMS}) USING (doc)),
+{headings()},
+l AS (
+  SELECT b.*, coalesce(last_value(hd.key IGNORE NULLS) OVER u, 'preamble') AS section_key,
+    coalesce(last_value(hd.title IGNORE NULLS) OVER u, 'Preamble') AS section_title
+  FROM b LEFT JOIN hd ON hd.doc = b.doc AND hd.ord = b.ord WINDOW u AS (PARTITION BY b.doc ORDER BY b.ord ROWS UNBOUNDED PRECEDING)
+)
+"""
+# Chunks of the labelled blocks ``l``.
+PACKED = """
+p AS (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY doc ORDER BY ord) AS i FROM l WHERE NOT in_table AND text IS NOT NULL),
+w AS (
+  SELECT doc, i, section_key, n AS held, 0 AS chunk_order FROM p WHERE i = 1
+  UNION ALL
+  SELECT p.doc, p.i, p.section_key, CASE WHEN p.section_key <> w.section_key OR w.held + 2 + p.n > 3000 THEN p.n ELSE w.held + 2 + p.n END,
+    w.chunk_order + CASE WHEN p.section_key <> w.section_key OR w.held + 2 + p.n > 3000 THEN 1 ELSE 0 END
+  FROM w JOIN p ON p.doc = w.doc AND p.i = w.i + 1
+)
+"""
+# The filings' own documents: blocks as a reader sees them.
+PARSED = f"""
+f AS ({once("filings", "accession_number", "ticker cik form filing_date report_date stored_filename size_bytes")}),
+s AS (
+  SELECT accession_number AS doc, form, ticker, CASE WHEN size_bytes IS NULL THEN 'bytes_changed'
+    WHEN coalesce(form, '') NOT IN ('10-K', '10-Q') THEN 'unsupported_form' ELSE 'ok' END AS status
+  FROM f WHERE accession_number IN (SELECT doc FROM ({BLOCKS}))
+),
+b AS (
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY ord) - 1 AS ord, text, in_table, form
+  FROM (SELECT doc, ord, {norm("text")} AS text, in_table, form FROM ({BLOCKS}) JOIN s USING (doc) WHERE status = 'ok') WHERE text <> ''
+),
+{headings()},
 l AS (
-  SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING), 'preamble') AS section_key
-  FROM m
+  SELECT b.*, coalesce(last_value(hd.key IGNORE NULLS) OVER u, 'preamble') AS section_key,
+    coalesce(last_value(hd.title IGNORE NULLS) OVER u, 'Preamble') AS section_title
+  FROM b LEFT JOIN hd ON hd.doc = b.doc AND hd.ord = b.ord WINDOW u AS (PARTITION BY b.doc ORDER BY b.ord ROWS UNBOUNDED PRECEDING)
+),
+{PACKED.strip()},
+ch AS (
+  SELECT doc, chunk_order, arg_min(p.section_key, p.i) AS section_key, arg_min(section_title, p.i) AS section_title, count(*) AS n_blocks,
+    count(*) = 1 AND max(p.n) > 4500 AS oversized, md5(string_agg(text, chr(10) || chr(10) ORDER BY p.i)) AS digest
+  FROM w JOIN p USING (doc, i) GROUP BY doc, chunk_order
 )
 """
 VERDICT = f"""
@@ -246,7 +348,16 @@ z AS (
 
 SQL = {
     "normalized_blocks": f"WITH b AS ({BLOCKS}) SELECT doc, ord, {norm('text')} AS norm, {canon('text')} AS canonical FROM b",
-    "decoded_bytes": f"WITH b AS ({BLOCKS}) SELECT doc, ord, text, CASE WHEN text IS NOT NULL THEN 'utf-8' END AS encoding, sha256(text) AS sha256 FROM b",
+    # The cut-off bytes read as Latin-1: each byte of the UTF-8 form is a character.
+    "decoded_bytes": f"""WITH b AS ({BLOCKS}),
+h AS (SELECT doc, ord, text, hex(encode(text)) || 'E9' AS h FROM b),
+l AS (
+  SELECT doc, ord, string_agg(chr(('0x' || substr(h, 2 * i - 1, 2))::INT), '' ORDER BY i) AS t
+  FROM (SELECT doc, ord, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM h WHERE text IS NOT NULL) GROUP BY doc, ord
+)
+SELECT doc, ord, false AS cut_off, text, CASE WHEN text IS NOT NULL THEN 'utf-8' END AS encoding, sha256(text) AS sha256 FROM b
+UNION ALL SELECT doc, ord, true, t, CASE WHEN t IS NOT NULL THEN 'latin-1' END, CASE WHEN t IS NOT NULL THEN sha256(unhex(h)) END
+FROM h LEFT JOIN l USING (doc, ord)""",
     "filing_paths": """
 SELECT DISTINCT accession_number, lpad(cik::BIGINT::VARCHAR, 10, '0') AS cik10,
   'https://data.sec.gov/submissions/CIK' || lpad(cik::BIGINT::VARCHAR, 10, '0') || '.json' AS history_url,
@@ -291,19 +402,27 @@ FROM s QUALIFY rank <= 5""",
 v AS (SELECT chunk_id, len(s) AS n, list_transform(range(0, 512), lambda i: CASE WHEN list_contains(s, i::UBIGINT) THEN '1' ELSE '0' END) AS v FROM hs)
 SELECT chunk_id, n AS n_slots, round((1 / sqrt(n))::FLOAT::DOUBLE, 6) AS value, md5(array_to_string(v, '')) AS digest FROM v""",
     "hybrid_topk_scoped": hybrid("bm25_score", "upper(form) = '10-Q'"),
-    "section_ffill": f"WITH {LABELLED} SELECT doc, ord, section_key FROM l",
-    "packed_chunks": f"""WITH RECURSIVE {LABELLED},
-p AS (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY doc ORDER BY ord) AS i FROM l WHERE NOT in_table AND text IS NOT NULL),
-w AS (
-  SELECT doc, i, section_key, n AS held, 0 AS chunk_order FROM p WHERE i = 1
-  UNION ALL
-  SELECT p.doc, p.i, p.section_key, CASE WHEN p.section_key <> w.section_key OR w.held + 2 + p.n > 3000 THEN p.n ELSE w.held + 2 + p.n END,
-    w.chunk_order + CASE WHEN p.section_key <> w.section_key OR w.held + 2 + p.n > 3000 THEN 1 ELSE 0 END
-  FROM w JOIN p ON p.doc = w.doc AND p.i = w.i + 1
-)
+    "section_ffill": f"WITH RECURSIVE {LABELLED} SELECT doc, ord, section_key FROM l",
+    "heading_chains": f"""WITH RECURSIVE b AS (SELECT x.*, form FROM ({BLOCKS}) x JOIN ({FORMS}) USING (doc)), {headings()}
+SELECT doc, ord, key, is_part FROM hd""",
+    "packed_chunks": f"""WITH RECURSIVE {LABELLED}, {PACKED.strip()}
 SELECT doc, chunk_order, min(p.section_key) AS section_key, count(*) AS n_blocks, arg_min(p.char_start, p.i) AS char_start,
   arg_max(p.char_end, p.i) AS char_end, count(*) = 1 AND max(p.n) > 4500 AS oversized, sum(p.n) + 2 * (count(*) - 1) AS n_chars
 FROM w JOIN p USING (doc, i) GROUP BY doc, chunk_order""",
+    "parsed_chunks": f"""WITH RECURSIVE {PARSED}
+SELECT replace(doc, '-', '') || '-' || lpad(chunk_order::VARCHAR, 5, '0') AS chunk_id, ticker, form, 'utf-8' AS encoding, section_key, section_title,
+  chunk_order, n_blocks, oversized, digest FROM ch JOIN s USING (doc)""",
+    "parse_manifest": f"""WITH RECURSIVE {PARSED},
+x AS (
+  SELECT doc, count(*) AS blocks, count(*) FILTER (NOT in_table) AS prose_blocks, count(*) FILTER (in_table) AS table_blocks,
+    coalesce(sum(length(text)) FILTER (NOT in_table), 0) AS prose_chars FROM b GROUP BY doc
+),
+y AS (SELECT doc, count(*) AS chunks, count(*) FILTER (oversized) AS oversized_chunks FROM ch GROUP BY doc),
+z AS (SELECT doc, count(*) FILTER (NOT is_part) AS sections_detected FROM hd GROUP BY doc)
+SELECT doc AS accession_number, form, 'utf-8' AS encoding, coalesce(blocks, 0) AS blocks, coalesce(prose_blocks, 0) AS prose_blocks,
+  coalesce(table_blocks, 0) AS table_blocks, coalesce(prose_chars, 0) AS prose_chars, coalesce(blocks, 0) AS blocks_passed, coalesce(chunks, 0) AS chunks,
+  coalesce(oversized_chunks, 0) AS oversized_chunks, coalesce(chunks, 0) AS chunks_passed, coalesce(sections_detected, 0) AS sections_detected, status
+FROM s LEFT JOIN x USING (doc) LEFT JOIN y USING (doc) LEFT JOIN z USING (doc)""",
     "html_roundtrip": f"""WITH b AS ({BLOCKS}), x AS (SELECT doc, ord, in_table, {norm("text")} AS text FROM b)
 SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY ord) - 1 AS n, text, in_table, true AS verified FROM x WHERE text <> ''""",
     "block_stats": f"""WITH b AS ({BLOCKS})

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from filigree.functions.text import decode_bytes, pad_cik
 from filigree.operators.chunking import MAX_CHARS, TARGET_CHARS, pack_chunks, with_chunk_ids
-from filigree.operators.extract import html_blocks, verify_spans
+from filigree.operators.extract import html_blocks, verify_chunks
 from filigree.operators.sections import assign_sections, detect_headings
+from filigree.session import stored
 
 FORMS = ("10-K", "10-Q")
 CHUNK_FIELDS = (
@@ -142,10 +143,12 @@ def parse_filings(
         F.col("form").isin(*FORMS).alias("supported"),
     )
     good = docs.where("sealed AND supported")
-    blocks = html_blocks(good, "doc").join(good.select("doc", "form"), "doc")
-    labelled = assign_sections(blocks, detect_headings(blocks, strict))
-    packed = with_chunk_ids(pack_chunks(labelled, target, limit))
-    checked = verify_spans(packed.join(good.select("doc", "html", "encoding"), "doc"), "html", "char_start", "char_end", "text", False, "ok")
+    # The markup is read twice: once for its blocks, once to give the chunks' texts back.
+    head = stored(docs.drop("html"))
+    blocks = stored(html_blocks(good, "doc").join(head.select("doc", "form"), "doc"))
+    headings = stored(detect_headings(blocks, strict))
+    packed = stored(with_chunk_ids(pack_chunks(assign_sections(blocks, headings), target, limit)))
+    checked = stored(verify_chunks(good, packed))
     b = blocks.groupBy("doc").agg(
         F.count(F.lit(1)).alias("blocks"),
         F.count_if(~F.col("in_table")).alias("prose_blocks"),
@@ -153,10 +156,10 @@ def parse_filings(
         F.sum(F.when(~F.col("in_table"), F.length("text")).otherwise(0)).alias("prose_chars"),
         F.count_if("verified").alias("blocks_passed"),
     )
-    c = checked.groupBy("doc").agg(
+    c = packed.join(checked, ["doc", "chunk_order"]).groupBy("doc").agg(
         F.count(F.lit(1)).alias("chunks"), F.count_if("oversized").alias("oversized_chunks"), F.count_if("ok").alias("chunks_passed")
     )
-    h = detect_headings(blocks, strict).groupBy("doc").agg(F.count_if(~F.col("is_part")).alias("sections_detected"))
+    h = headings.groupBy("doc").agg(F.count_if(~F.col("is_part")).alias("sections_detected"))
     status = (
         F.when(~F.coalesce("sealed", F.lit(False)), "bytes_changed")
         .when(~F.coalesce("supported", F.lit(False)), "unsupported_form")
@@ -165,15 +168,17 @@ def parse_filings(
     )
     counts = ["blocks", "prose_blocks", "table_blocks", "prose_chars", "blocks_passed", "chunks", "oversized_chunks", "chunks_passed", "sections_detected"]
     manifest = (
-        docs.drop("html").join(b, "doc", "left").join(c, "doc", "left").join(h, "doc", "left").fillna(0, counts)
+        head.join(b, "doc", "left").join(c, "doc", "left").join(h, "doc", "left").fillna(0, counts)
         .select(F.col("doc").alias("accession_number"), "form", "encoding", *counts, status.alias("status"))
     )
+    manifest = stored(manifest)
     passed = manifest.where("status = 'ok'").select(F.col("accession_number").alias("doc"))
     identity = filings.select(
         F.col("accession_number").alias("doc"), "ticker", "cik", "form", "filing_date", "report_date", "accession_number",
         F.col("stored_filename").alias("source_path"), F.col("sha256").alias("source_sha256"),
     )
-    records = checked.join(passed, "doc", "left_semi").join(identity, "doc").select(*CHUNK_FIELDS)
+    encodings = head.select("doc", "encoding")
+    records = packed.join(passed, "doc", "left_semi").join(encodings, "doc").join(identity, "doc").select(*CHUNK_FIELDS)
     return records, manifest
 
 

@@ -25,6 +25,12 @@ from pyspark.sql import functions as F
 #: (decoded wrongly as, really): fixed values, the pairs that are tried.
 UTF8_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "cp437", "cp850", "mac_roman", "koi8_r", "cp1254", "iso8859-15")
 BYTE_AS = (("latin-1", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"))
+#: Double-byte encodings read as a Western one, with the lead bytes of their everyday ideographs or syllables. Where all
+#: of a passage is everyday Korean it is hardly anything else, kana tell Japanese, and so on down the list.
+DOUBLE_AS = ("cp1252", "latin-1")
+DOUBLE = {"euc_kr": (0xB0, 0xC8), "cp932": (0x88, 0x97), "euc_jp": (0xB0, 0xCF), "gb2312": (0xB0, 0xD7), "big5": (0xA4, 0xC6)}
+#: Characters at least that a double-byte reading must give where no neighbour gave the encoding away.
+DOUBLE_CHARS = 2
 MAX_LAYERS = 4
 
 _NO_WIDTH = "​‌‍⁠﻿"
@@ -52,7 +58,7 @@ def _table(codec: str) -> dict[str, int]:
     return out
 
 
-_TO_BYTES = {c: _table(c) for c in {*UTF8_AS, *(w for w, _ in BYTE_AS)}}
+_TO_BYTES = {c: _table(c) for c in {*UTF8_AS, *DOUBLE_AS, *(w for w, _ in BYTE_AS)}}
 _FROM_BYTES = {c: {b: ch for ch, b in _table(c).items()} for c in {r for _, r in BYTE_AS}}
 
 
@@ -163,6 +169,29 @@ def _as_bytes(token: str, wrong: str, right: str) -> str | None:
     return "".join(out)
 
 
+def _everyday(ch: str, codec: str) -> bool | None:
+    """Whether ``ch`` is in everyday use where ``codec`` is; None for punctuation and forms of any script."""
+    if "\u3000" <= ch <= "\u303f" or "\uff00" <= ch <= "\uffef":
+        return None
+    if "\u3040" <= ch <= "\u30ff":
+        return codec in ("cp932", "euc_jp")
+    low, high = DOUBLE[codec]
+    return ch.isalpha() and low <= ch.encode(codec)[0] <= high and (codec != "euc_kr" or "\uac00" <= ch <= "\ud7a3")
+
+
+def _as_double(token: str, wrong: str, right: str, least: int = DOUBLE_CHARS) -> str | None:
+    """The token read as double bytes, if seven in eight characters that come are everyday ones and none is left over."""
+    to = _TO_BYTES[wrong]
+    try:
+        got = bytes([ord(c) if c < "\x80" else to[c] for c in token]).decode(right)
+    except (KeyError, UnicodeDecodeError):
+        return None
+    new = [_everyday(c, right) for c in got if c >= "\x80"]
+    if new.count(False) * 7 > new.count(True) or new.count(True) < least or any(c.isascii() and c.isalpha() for c in got):
+        return None
+    return got
+
+
 @lru_cache(maxsize=1 << 17)
 def _repair_once(token: str) -> tuple[str, tuple[str, ...]] | None:
     """The cheapest accepted repair: (text, its steps as 'wrong>right').
@@ -182,6 +211,13 @@ def _repair_once(token: str) -> tuple[str, tuple[str, ...]] | None:
                 best = (new, layer, steps)
     if best:
         return best[1:]
+    if sum(c >= "\x80" for c in token) >= DOUBLE_CHARS:
+        # The first reading that is everyday writing throughout; Japanese with kana goes before what has none.
+        read = [(got, wrong, right) for right in DOUBLE for wrong in DOUBLE_AS if (got := _as_double(token, wrong, right)) is not None]
+        read.sort(key=lambda r: not any("\u3040" <= c <= "\u30ff" for c in r[0]))
+        for got, wrong, right in read:
+            if oddness(got)[0] < cost:
+                return got, (f"{wrong}>{right}",)
     for wrong, right in BYTE_AS:
         got = _as_bytes(token, wrong, right)
         if got is not None and got != token:
@@ -209,7 +245,10 @@ def _again(sentence: str, steps: tuple[str, ...]) -> str:
             return token
         for step in steps:
             wrong, _, right = step.partition(">")
-            got = (_as_utf8(token, wrong) or (None,))[0] if right == "utf-8" else _as_bytes(token, wrong, right)
+            if right == "utf-8":
+                got = (_as_utf8(token, wrong) or (None,))[0]
+            else:
+                got = _as_double(token, wrong, right, 1) if right in DOUBLE else _as_bytes(token, wrong, right)
             if got is not None and oddness(got)[0] <= oddness(token)[0] and not oddness(got)[1]:
                 return got
         return token

@@ -98,3 +98,24 @@ def test_garbled_table(spark):
 
 def test_compositions_are_unicodes():
     assert K.compositions()["é"] == "é" and all(unicodedata.normalize("NFC", k) == v for k, v in K.compositions().items())
+
+
+DOUBLE = {
+    "cp932": "こんにちは世界、東京の会社です。", "euc_jp": "日本語のテキストをここに書きます。", "gb2312": "中文文本在这里说明公司的业务。", "big5": "中文公司說明業務。",
+    "euc_kr": "한국어 텍스트를 여기에 씁니다.",
+}
+
+
+@pytest.mark.parametrize("right", sorted(DOUBLE))
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+def test_double_byte_passages_come_back(right, wrong):
+    text = DOUBLE[right]
+    back = {b: c for c, b in M._TO_BYTES[wrong].items()}
+    garbled = "".join(chr(b) if b < 128 else back[b] for b in text.encode(right))
+    found, repaired, steps = M.repair("The name is " + garbled + " in full.")
+    assert found and repaired == "The name is " + text + " in full." and steps in (f"cp1252>{right}", f"latin-1>{right}")
+
+
+@pytest.mark.parametrize("text", ["ÉTÉ À ÎLE ÔTÉ", "Äußerungen über Öl", "é è à ù", "naïveté «oui»", "ÄÖÜ", "Þórður Ægisson", "¿Qué año?", "100 µm ±5 °C", "½ £5", "ÆØÅ æøå"])
+def test_western_words_are_not_read_as_double_bytes(text):
+    assert M.repair(text)[0] is False

@@ -207,7 +207,7 @@ def _repair_once(token: str) -> tuple[str, tuple[str, ...]] | None:
             layer, steps, sequences = got[0], (*steps, f"{codec}>utf-8"), got[1]
             new, mixed = oddness(layer)
             foreign = any(c.isalpha() and _script(c) != "L" for c in layer)
-            if not mixed and new < cost and (not foreign or sequences >= 3) and (best is None or new < best[0]):
+            if not mixed and new < cost and (not foreign or sequences >= 3 or 2 * new <= cost) and (best is None or new < best[0]):
                 best = (new, layer, steps)
     if best:
         return best[1:]

@@ -119,3 +119,9 @@ def test_double_byte_passages_come_back(right, wrong):
 @pytest.mark.parametrize("text", ["ÉTÉ À ÎLE ÔTÉ", "Äußerungen über Öl", "é è à ù", "naïveté «oui»", "ÄÖÜ", "Þórður Ægisson", "¿Qué año?", "100 µm ±5 °C", "½ £5", "ÆØÅ æøå"])
 def test_western_words_are_not_read_as_double_bytes(text):
     assert M.repair(text)[0] is False
+
+
+@pytest.mark.parametrize("word", ["не", "ω", "中国", "και"])
+@pytest.mark.parametrize("codec", ["cp1251", "latin-1", "cp437"])
+def test_short_foreign_words_come_back(word, codec):
+    assert M.repair(f"It says {word.encode().decode(codec)} here.")[:2] == (True, f"It says {word} here.")

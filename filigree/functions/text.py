@@ -123,10 +123,11 @@ def archive_url(cik: Column, accession: Column, document: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
+    """Decimal units, one digit after the point."""
     return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024))
-        .when(n.isNotNull(), F.format_string("%.1f MB", n / (1024 * 1024)))
+        F.when(n >= 1_000_000, F.format_string("%.1f MB", n / 1_000_000))
+        .when(n >= 1_000, F.format_string("%.1f KB", n / 1_000))
+        .when(n.isNotNull(), F.concat(n.cast("string"), F.lit(" B")))
     )
 
 

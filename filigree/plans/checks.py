@@ -363,8 +363,8 @@ SELECT DISTINCT accession_number, lpad(cik::BIGINT::VARCHAR, 10, '0') AS cik10,
   'https://data.sec.gov/submissions/CIK' || lpad(cik::BIGINT::VARCHAR, 10, '0') || '.json' AS history_url,
   concat_ws('/', 'https://www.sec.gov/Archives/edgar/data', cik::BIGINT::VARCHAR, replace(accession_number, '-', ''), primary_document)
     AS archive_url,
-  CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN format('{:.1f} KB', size_bytes / 1024)
-    WHEN size_bytes IS NOT NULL THEN format('{:.1f} MB', size_bytes / 1048576) END AS human_size
+  CASE WHEN size_bytes >= 1000000 THEN format('{:.1f} MB', size_bytes / 1000000) WHEN size_bytes >= 1000 THEN format('{:.1f} KB', size_bytes / 1000)
+    WHEN size_bytes IS NOT NULL THEN size_bytes || ' B' END AS human_size
 FROM filings""",
     "windows_split": f"""WITH c AS ({CHUNKS}),
 n AS (SELECT chunk_id, text, unnest(range(0, greatest(0, ceil((length(text) - 800) / 600.0))::INT + 1)) AS win_no FROM c WHERE text IS NOT NULL)

@@ -139,3 +139,18 @@ class Client:
 
     def get_json(self, url: str, use_cache: bool = True):
         return json.loads(self.get(url, use_cache).body.decode("utf-8"))
+
+
+def urllib_transport(timeout: float = 30.0) -> Callable[[str, dict[str, str]], Response]:
+    """A transport over the standard library; statuses are answers, not exceptions."""
+    import urllib.error
+    import urllib.request
+
+    def send(url: str, headers: dict[str, str]) -> Response:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as got:
+                return Response(got.read(), got.status, dict(got.headers))
+        except urllib.error.HTTPError as e:
+            return Response(e.read(), e.code, dict(e.headers))
+
+    return send

@@ -104,23 +104,28 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.htm*") -> D
 
 
 def store_documents(df: DataFrame, path: str) -> None:
-    """Sink: bytes, identity and SHA-256, by ticker; Spark's commit protocol makes it all or nothing."""
+    """Sink: bytes, identity and SHA-256, by ticker; Spark's commit protocol makes it all or nothing.
+
+    What is stored already, the same bytes of the same ticker, is not stored again.
+    """
     sealed = df.withColumn("sha256", F.sha2("content", 256)).withColumn("size_bytes", F.length("content"))
-    sealed.write.mode("append").partitionBy("ticker").parquet(path)
+    store_new(sealed, path, ["ticker", "sha256"], ["ticker"])
 
 
-def store_new(df: DataFrame, path: str, key: str) -> None:
+def store_new(df: DataFrame, path: str, key: str | list[str], partition: list[str] | None = None) -> None:
     """Append the rows whose ``key`` the table at ``path`` lacks: a cache that can be run again."""
+    keys = [key] if isinstance(key, str) else key
     spark = df.sparkSession
     try:
-        there = spark.read.parquet(path).select(key)
+        there = spark.read.parquet(path).select(*keys)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
             raise
         fresh = df
     else:
-        fresh = df.join(there, key, "left_anti")
-    fresh.dropDuplicates([key]).write.mode("append").parquet(path)
+        fresh = df.join(there.distinct(), keys, "left_anti")
+    writer = fresh.dropDuplicates(keys).write.mode("append")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
 def parse_filings(

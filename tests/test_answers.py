@@ -164,3 +164,27 @@ def test_suite(spark, chunks, entities):
     passed = {r.case_id: r.ok for r in out.groupBy("case_id").agg(F.bool_and("ok").alias("ok")).collect()}
     assert passed == {"c1": True, "c2": False, "r1": True, "b1": True, "b2": False, "f1": True, "f2": False}
     assert {r.type: (r.n_cases, r.n_passed) for r in harness.report(out).collect()}["filter"] == (2, 1)
+
+
+def test_service_over_an_index(spark, chunks, entities, tmp_path):
+    from filigree import cli
+    from filigree.api import respond
+    from filigree.sources.index_store import build_index, load_index
+
+    path = str(tmp_path / "ix")
+    build_index(chunks, entities, chunks.selectExpr("chunk_id as path", "source_sha256 as sha256"), path)
+    s = Service(None, None, index=load_index(spark, path))
+    status, got = respond(s, "POST", "/search", b'{"query": "rockets", "k": 2, "ticker": "acm"}')
+    assert status == 200 and got["hits"][0]["record"]["chunk_id"] == "c1" and got["hits"][0]["record"]["ticker"] == "ACM"
+    bare = Service(chunks, entities).search("weather machines of governments", k=3).collect()
+    assert [(r.doc, round(r.score, 9)) for r in s.search("weather machines of governments", k=3).collect()] == [(r.doc, round(r.score, 9)) for r in bare]
+    status, got = respond(s, "POST", "/ask", b'{"question": "What does Globex sell?"}')
+    assert status == 200 and not got["refused"] and got["ticker"] == "GLX" and got["claims"][0]["chunk_id"] == "c3"
+    assert respond(s, "GET", "/health")[1]["embedding_model"] == "hashed-512"
+    assert respond(s, "GET", "/chunks/c2")[1]["form"] == "10-Q"
+    assert [respond(s, *r)[0] for r in (("GET", "/chunks/zz"), ("GET", "/x"), ("POST", "/search", b'{"query": " "}'), ("POST", "/ask", b"{}"), ("POST", "/ask", b"?"))] == [404, 404, 422, 422, 422]
+    gold = tmp_path / "gold.jsonl"
+    gold.write_text('{"qid": "a", "type": "x", "query": "small rockets", "acceptable": ["c1"]}\n\n{"qid": "d", "type": "off_corpus", "query": "zebra"}\n')
+    assert cli.main(["gold", path, str(gold)]) == 0
+    gold.write_text('{"qid": "a", "type": "x", "query": "small rockets", "acceptable": ["zz"]}\n')
+    assert cli.main(["gold", path, str(gold)]) == 1

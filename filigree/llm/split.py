@@ -57,43 +57,42 @@ def split_oversized(
     keys are cut once each as given: repeated rows give repeated pieces. Columns
     other than ``keys`` are not carried, so their names cannot clash.
     """
-    if not 0 <= overlap or overlap + SLACK >= limit // 2:
-        raise ValueError("overlap must be far smaller than the limit")
     budget = limit - overlap - SLACK
-    t = F.col("__text")
+    if overlap < 0 or overlap + SLACK > budget // 2:
+        raise ValueError("overlap must be far smaller than the limit")
+    starts = F.aggregate(
+        F.transform("__cores", lambda c: F.length(c)),
+        F.array(F.lit(0)),
+        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
+    )
+    # Exploded from an array of one, each value is computed once a row; in a projection alone it might be, for each use.
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
     cut = (
         df.select(*keys, F.col(text).alias("__text"))
         .where(F.length("__text") > limit)
-        .withColumn("__cores", F.regexp_extract_all(t, F.lit(boundary_pattern(budget)), F.lit(0)))
-        .withColumn(
-            "__starts",
-            F.aggregate(
-                F.transform("__cores", lambda c: F.length(c)),
-                F.array(F.lit(0)),
-                lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-            ),
-        )
+        .select(*keys, once(F.regexp_extract_all(F.col("__text"), F.lit(boundary_pattern(budget)), F.lit(0)), "__cores"))
+        .select(*keys, "__cores", once(starts, "__starts"))
     )
-    # Of the 64 characters before the stated overlap, what follows their last blank.
+
     def piece(core, i):
         start = F.element_at("__starts", i + 1)
-        before = F.substring(t, F.greatest(start - (overlap + SLACK), F.lit(0)) + 1, F.least(F.lit(SLACK), F.greatest(start - overlap, F.lit(0))))
+        # Of any two neighbouring cores one is long, so the two before hold all that a lookback can reach.
+        held = F.concat(F.coalesce(F.get("__cores", i - 2), F.lit("")), F.coalesce(F.get("__cores", i - 1), F.lit("")))
+        look = F.right(held, F.lit(overlap + SLACK))
+        # Of the 64 characters before the stated overlap, what follows their last blank.
+        before = F.substring(look, F.lit(1), F.greatest(F.length(look) - overlap, F.lit(0)))
         reach = F.when(before.rlike(r"\s\S*$"), F.length(F.regexp_extract(before, r"\s(\S*)$", 1))).otherwise(F.lit(0))
         back = F.when(i == 0, F.lit(0)).otherwise(F.least(F.lit(overlap), start) + reach)
-        return F.struct(back.alias("overlap"), (start - back).alias("char_start"), (start + F.length(core)).alias("char_end"))
+        return F.struct(
+            (start - back).alias("char_start"),
+            (start + F.length(core)).alias("char_end"),
+            back.alias("overlap"),
+            F.concat(F.right(look, back), core).alias("piece_text"),
+        )
 
-    # Offsets first, slices next, rows last: the whole text is never copied beside a piece.
-    spans = F.transform("__cores", piece)
-    pieces = F.transform(
-        "__spans",
-        lambda s: F.struct(
-            s["char_start"].alias("char_start"),
-            s["char_end"].alias("char_end"),
-            s["overlap"].alias("overlap"),
-            F.substring(t, s["char_start"] + 1, s["char_end"] - s["char_start"]).alias("piece_text"),
-        ),
-    )
-    made = cut.withColumn("__spans", spans).select(*keys, F.size("__cores").alias("n_pieces"), pieces.alias("__pieces"))
+    # Pieces are made of neighbouring cores: no offset into the whole text is sought, and the text is not copied beside them.
+    pieces = F.transform("__cores", piece)
+    made = cut.select(*keys, F.size("__cores").alias("n_pieces"), pieces.alias("__pieces"))
     return made.select(*keys, "n_pieces", F.posexplode("__pieces").alias("piece_no", "__p")).select(
         *keys, "piece_no", "n_pieces", "__p.char_start", "__p.char_end", "__p.overlap", "__p.piece_text"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm import idealpoint, leakage, lookalike, mojibake, neardup, packing, repetition, split, vectors
-from filigree.session import table
+from filigree.session import stored, table
 
 SCORES = ["bm25_score", "embed_score", "score"]
 
@@ -19,6 +19,20 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(long.groupBy("chunk_id").agg(F.min("text").alias("text")), ["chunk_id"])
 
 
+def p1_covered(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of each oversized chunk's pieces: they reach from end to end, overlap as stated, and keep the limit."""
+    p = p1_pieces(spark, d)
+    per = p.groupBy("chunk_id").agg(
+        F.max("char_end").alias("n_chars"),
+        F.sum(F.length("piece_text") - F.col("overlap")).alias("fresh"),
+        F.max(F.length("piece_text")).alias("longest"),
+        F.min(F.when(F.col("piece_no") > 0, F.col("overlap")).otherwise(200)).alias("overlap"),
+        (F.count(F.lit(1)) == F.max("n_pieces")).alias("whole"),
+    )
+    kept = (F.col("fresh") == F.col("n_chars")) & (F.col("longest") <= 4500) & (F.col("overlap") >= 200) & F.col("whole")
+    return per.select("chunk_id", "n_chars", kept.alias("kept"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).select("chunk_id").distinct()
 
@@ -93,6 +107,21 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id")
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of each text's pieces: in order from the first token, whole unless too large, in containers not overfull."""
+    p = stored(p7_containers(spark, d))
+    held = p.groupBy("container").agg(F.sum("n_tokens").alias("held"))
+    per = p.join(held, "container").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"),
+        F.max("piece_no").alias("last"),
+        F.sum("n_tokens").alias("tokens"),
+        F.bool_and((F.col("held") == F.col("fill")) & (F.col("fill") <= packing.CAPACITY)).alias("fits"),
+    )
+    pieces = F.ceil(F.col("tokens") / packing.CAPACITY)
+    kept = F.col("fits") & (F.col("pieces") == F.col("last") + 1) & (F.col("pieces") == pieces)
+    return per.select("doc_id", kept.alias("kept"))
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -129,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         p1_found,
         p1_pieces,
+        p1_covered,
         p2_found,
         p2_groups,
         p3_found,
@@ -141,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p6_found,
         p6_repaired,
         p7_containers,
+        p7_kept,
         p8_found,
         p8_spans,
         p8_removal,

@@ -279,6 +279,8 @@ SELECT DISTINCT claim_id FROM o JOIN u q ON q.k = md5(quote) JOIN u z ON z.k = m
 
 SQL = {
     "p1_found": P1_FOUND,
+    "p1_covered": "SELECT DISTINCT chunk_id, length(text) AS n_chars, true AS kept FROM chunks WHERE length(text) > 4500",
+    "p7_kept": "SELECT doc_id, true AS kept FROM documents WHERE text <> ''",
     "p2_found": P2_FOUND,
     "p2_groups": P2_GROUPS,
     "p3_found": P3_FOUND,

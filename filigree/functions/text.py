@@ -122,11 +122,23 @@ def archive_url(cik: Column, accession: Column, document: Column) -> Column:
     )
 
 
+def _one_digit(n: Column, unit: int) -> Column:
+    """``n / unit`` as a double, written with one digit after the point and rounded by its exact binary value."""
+    x = n / F.lit(float(unit))
+    below = F.floor(n / F.lit(unit // 10)).cast("long")  # whole tenths
+    tenth = below % 10
+    part = x - F.floor(x)
+    # Each step is exact, or at least right in sign.
+    over = (part * 8 - (tenth + 0.5)) + part * 2
+    rounded = below + F.when((over > 0) | ((over == 0) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def human_size(n: Column) -> Column:
     """Decimal units, one digit after the point."""
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1f MB", n / 1_000_000))
-        .when(n >= 1_000, F.format_string("%.1f KB", n / 1_000))
+        F.when(n >= 1_000_000, F.concat(_one_digit(n, 1_000_000), F.lit(" MB")))
+        .when(n >= 1_000, F.concat(_one_digit(n, 1_000), F.lit(" KB")))
         .when(n.isNotNull(), F.concat(n.cast("string"), F.lit(" B")))
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
 
 from filigree.operators.sections import ALIKE, ITEM_PATTERN, PART_PATTERN, slot_rows
 
@@ -315,6 +316,34 @@ def verdict(known: str) -> str:
   WHEN NOT coalesce(contains({canon("t")}, {canon("quote")}), false) THEN 'quote_not_found' ELSE 'verified' END"""
 
 
+# Compatibility forms and what they stand for, by Unicode's own data; canonical forms are nfc_normalize's to compose.
+NFKC_VALUES = ", ".join(
+    f"({cp}, {quoted(unicodedata.normalize('NFKD', chr(cp)))})"
+    for cp in range(0xA0, 0x30000)
+    if not 0xD800 <= cp <= 0xDFFF and unicodedata.normalize("NFKD", chr(cp)) != unicodedata.normalize("NFD", chr(cp))
+)
+AUDIT = f"""WITH c AS ({CHUNKS}), v AS ({CLAIMS}), r AS ({RETRIEVED}),
+m(cp, fold) AS (VALUES {NFKC_VALUES}),
+raw AS (
+  SELECT 'q' || claim_id AS k, quote AS t FROM v WHERE quote IS NOT NULL
+  UNION ALL SELECT 't' || chunk_id, text FROM c WHERE text IS NOT NULL AND chunk_id IN (SELECT chunk_id FROM v)
+),
+x AS (SELECT k, unnest(s) AS ch, generate_subscripts(s, 1) AS i FROM (SELECT k, string_split(t, '') AS s FROM raw WHERE t <> '')),
+n AS (SELECT k, nfc_normalize(string_agg(coalesce(fold, ch), '' ORDER BY i)) AS t FROM x LEFT JOIN m ON cp = unicode(ch) GROUP BY k),
+u AS (
+  SELECT raw.k, trim(regexp_replace(translate(coalesce(n.t, ''), '’‘“”—–', {quoted("''" + chr(34) * 2 + "--")}), {SPACE}, ' ', 'g')) AS u
+  FROM raw LEFT JOIN n USING (k)
+),
+a AS (
+  SELECT claim_id, c.chunk_id IS NOT NULL AS chunk_known, r.chunk_id IS NOT NULL AS was_retrieved,
+    coalesce(v.source_sha256 = c.source_sha256, false) AS sha_matches, coalesce(char_start >= 0 AND char_end > char_start, false) AS offsets_sane,
+    coalesce(length({strip("quote")}) >= 15, false) AS long_enough, coalesce(contains(t.u, q.u), false) AS verbatim
+  FROM v LEFT JOIN c ON c.chunk_id = v.chunk_id LEFT JOIN r ON r.qid = v.qid AND r.chunk_id = v.chunk_id
+  LEFT JOIN u q ON q.k = 'q' || claim_id LEFT JOIN u t ON t.k = 't' || v.chunk_id
+)
+SELECT *, chunk_known AND was_retrieved AND sha_matches AND offsets_sane AND long_enough AND verbatim AS ok FROM a"""
+
+
 HITS = f"""
 r AS ({RETRIEVED}), v AS ({CLAIMS}),
 a AS (SELECT DISTINCT qid, chunk_id FROM v WHERE qid IS NOT NULL AND chunk_id IS NOT NULL),
@@ -494,6 +523,7 @@ SELECT (SELECT count(DISTINCT qid) FROM r) AS n_questions, count(DISTINCT qid) A
 b AS (SELECT qid, coalesce(max(CASE WHEN NOT isnan(score) THEN score END), 0) AS s FROM r GROUP BY qid)
 SELECT CASE WHEN qid IN (SELECT qid FROM v WHERE qid IS NOT NULL AND chunk_id IS NOT NULL) THEN 'gold' ELSE 'decoy' END AS kind,
   count(*) AS n_questions, round(median(s), 6) AS median_score FROM b GROUP BY 1""",
+    "citation_audit": AUDIT,
     "scope_check": f"""WITH c AS ({CHUNKS}), r AS ({RETRIEVED})
 SELECT r.qid AS case_id, count(c.chunk_id) AS n_hits,
   coalesce(count(c.chunk_id) > 0 AND count(*) FILTER (c.chunk_id IS NOT NULL AND coalesce(upper(c.form) <> '10-K', true)) = 0, false) AS in_scope

@@ -80,3 +80,10 @@ def test_vectors(spark):
 def test_hashed_encoder_is_unit_and_total(spark):
     for v in column(spark, ["alpha beta alpha", "", "x"], V.hash_encode):
         assert len(v) == 512 and sum(x * x for x in v) == pytest.approx(1, abs=1e-6)
+
+
+def test_sizes_round_as_binary_numbers_do(spark):
+    sizes = [0, 999, 1000, 1050, 1150, 1250, 1350, 54150, 54149, 54151, 99950, 999949, 999950, 999999, 1_000_000, 1_050_000, 12_350_000, 7_450_001, *range(1000, 90_000, 50)]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    want = {n: f"{n / 1_000_000:.1f} MB" if n >= 1_000_000 else f"{n / 1000:.1f} KB" if n >= 1000 else f"{n} B" for n in sizes}
+    assert {r.n: r.s for r in df.select("n", X.human_size(F.col("n")).alias("s")).collect()} == want

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filigree.functions.vectors import Encoder
 from filigree.operators.answer import Drafter, answer
 from filigree.operators.search import index_search, search
 from filigree.sources.index_store import Index
@@ -31,7 +31,7 @@ def _checked(text: str, k: int, most: int) -> None:
 class Service:
     """Over chunk records, or with ``index`` over a loaded one, whose records they then are.
 
-    ``encode`` is the encoder of an index that was not built with the hashed one.
+    ``encoder`` is that of an index that was not built with the hashed one.
     """
 
     def __init__(
@@ -40,11 +40,11 @@ class Service:
         entities: DataFrame | None,
         drafter: Drafter | None = None,
         index: Index | None = None,
-        encode: Callable[[Column], Column] | None = None,
+        encoder: Encoder | None = None,
     ) -> None:
         self.chunks = chunks if index is None else index.records
         self.entities = entities if index is None else index.entities
-        self.drafter, self.index, self.encode = drafter, index, encode
+        self.drafter, self.index, self.encoder = drafter, index, encoder
         self.spark = self.chunks.sparkSession
 
     def health(self) -> dict:
@@ -58,7 +58,7 @@ class Service:
         asked = self.spark.createDataFrame([(0, query)], "qid long, text string")
         wanted = {c: v for c, v in filters.items() if v is not None}
         if self.index is not None:
-            hits = index_search(self.index, asked, k=k, method=method, filters=wanted, encode=self.encode)
+            hits = index_search(self.index, asked, k=k, method=method, filters=wanted, encoder=self.encoder)
         else:
             hits = search(self.chunks, asked, k=k, method=method, filters=wanted, entities=self.entities)
         record = self.chunks.dropDuplicates(["chunk_id"])
@@ -68,7 +68,7 @@ class Service:
     def ask(self, question: str, k: int = 8) -> DataFrame:
         _checked(question, k, MAX_K_ASK)
         asked = self.spark.createDataFrame([(0, question)], "qid long, text string")
-        return answer(asked, self.chunks, self.entities, self.drafter, k, self.index, self.encode)
+        return answer(asked, self.chunks, self.entities, self.drafter, k, self.index, self.encoder)
 
     def chunk(self, chunk_id: str) -> dict | None:
         row = self.chunks.where(F.col("chunk_id") == chunk_id).limit(1).collect()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.functions.text import quote_verdict
+from filigree.functions.vectors import Encoder
 from filigree.operators.search import index_search, search
 from filigree.session import cut, stored
 from filigree.sources.index_store import Index
@@ -148,7 +148,7 @@ def answer(
     drafter: Drafter | None = None,
     k: int = 8,
     index: Index | None = None,
-    encode: Callable[[Column], Column] | None = None,
+    encoder: Encoder | None = None,
 ) -> DataFrame:
     """``qid, ticker, answered, refusal_reason, n_verified, dropped_claims, retrieved, claims`` for a batch ``questions(qid, text)``.
 
@@ -156,16 +156,16 @@ def answer(
     No claim survives whose quote is not in a chunk retrieved for that question;
     if none does, or nothing was retrieved, or the drafter declines, the answer is
     a refusal. ``claims`` carry the cited chunk's record; fields that ``chunks``
-    lacks are null. With an ``index``, a loaded one, it is searched, with the ``encode``
-    it was built with, and ``chunks`` only give the records.
+    lacks are null. With an ``index``, a loaded one, it is searched, with the
+    ``encoder`` it was built with, and ``chunks`` only give the records.
     """
     drafter = drafter or ExtractiveDrafter()
     scoped = cut(scope(questions, entities))
     asked = questions.select("qid", "text").join(scoped, "qid")
     if index is not None:
-        kept = index_search(index, asked, k=k, within="ticker", encode=encode)
+        kept = index_search(index, asked, k=k, within="ticker", encoder=encoder)
     else:
-        kept = search(chunks, asked, k=k, entities=entities, within="ticker", encode=encode)
+        kept = search(chunks, asked, k=k, entities=entities, within="ticker", encoder=encoder)
     kept = cut(kept.select("qid", F.col("doc").alias("chunk_id"), "rank"))
     found = chunks.join(kept.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     for c, kind in RECORD.items():

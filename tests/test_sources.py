@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from filigree.functions.vectors import TextEncoder, hash_encode
 from filigree.sources import cases, filings, index_store
 from filigree.sources.fetch import ByteCache, Client, FetchError, RateLimiter, Response, valid_user_agent
 from filigree.streaming.ingest import arrivals, ingest, stream_filings
@@ -98,7 +99,7 @@ def test_index_gates(spark, tmp_path):
     with pytest.raises(index_store.StaleIndexError):
         index_store.load_index(spark, path, dim=384)
     with pytest.raises(ValueError):
-        index_store.build_index(chunks, entities, sources, path, "model without an encoder")
+        index_store.build_index(chunks, entities, sources, path, TextEncoder("hashed-512", 512, hash_encode))
     t.windows.limit(1).write.mode("append").parquet(f"{path}/windows")
     with pytest.raises(index_store.StaleIndexError):
         index_store.load_index(spark, path)

@@ -171,7 +171,7 @@ def answer(
     for c, kind in RECORD.items():
         if c not in found.columns:
             found = found.withColumn(c, F.lit(None).cast(kind))
-    record = stored(found.select("chunk_id", "text", *RECORD))
+    record = stored(found.select("chunk_id", "text", *[F.col(c).cast(kind).alias(c) for c, kind in RECORD.items()]))
     retrieved = kept.join(record, "chunk_id")
     drafted = drafter.draft(retrieved)
     declined = drafted.where(~F.coalesce("answerable", F.lit(False))).groupBy("qid").agg(

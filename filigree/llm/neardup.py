@@ -11,31 +11,46 @@
    compared sequences instead: two sets at the threshold share one of these for
    certain, so no pair is lost. What is still long is cut into blocks, each a
    join key of its own.
-4. Sketches of the compared sequences estimate the similarity of a pair that
-   met, by the sketch of their union; clear misses go. 5. The full sets decide.
+4. Each class carries a bitmap of its whole set. Every bit in which two bitmaps
+   differ stands for a sequence that only one of the sets has, so a pair with too
+   many of them is a sure miss and goes where it meets, before it is written.
+5. The full sets decide. They are cut again from the texts of the pairs left.
+
+Chance meetings in lists grow as the square of the collection, true pairs do not;
+hence nothing is stored or shuffled for a pair before 4. Lists and pairs are
+worked off in slices that weigh about as much as the texts, and each slice's
+shuffle files go when its pairs are written.
 
 Everything is array functions and joins in the JVM.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.session import cut, stored
+from filigree.session import added, cut, remove, scratch
 
-#: Hashes kept for the estimate, and for the lists.
-SKETCH, LIST_SKETCH = 128, 96
+#: Hashes kept for the lists.
+LIST_SKETCH = 96
 #: Most words of a listed sequence.
 LISTED = 8
 #: Texts under SURE listed sequences' lengths may lack an unbroken passage; one under SHORT may have such a partner.
 SURE, SHORT = 3, 8
-#: Texts that share a retained value, above which it is a stock passage.
-HOT = 1000
-#: Standard deviations below the expected overlap at which the estimate gives up a pair.
-SIGMAS = 5
+#: Texts that share a retained value, above which it is a stock passage: there, comparing bitmaps costs a text more than listing its rarest sequences.
+HOT = 20_000
 #: Longest piece of an inverted list that one join key holds.
 BLOCK = 1000
+#: Words of 64 bits in a bitmap.
+BITMAP = 16
+#: Bytes on disk: a word of text, a listed value before and after bitmaps are brought to it, a member of a set.
+WORD, VALUE, POSTING, MEMBER = 3, 16, 180, 8
+#: Bytes that a slice's files may weigh besides what the texts weigh.
+SLICE = 16_000_000
 
 
 def words(text: Column) -> Column:
@@ -76,101 +91,188 @@ def listed_words(n: int, threshold: float) -> int:
     return max(n, min(LISTED, int(0.75 * apart + 1e-9) - 1))
 
 
-def classes(df: DataFrame, key: str, text: str, n: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(``id, cls`` per distinct key with enough words, ``cls, n, sketch, grams, listed, short`` per class).
-
-    ``cls`` is a digest of the whole set: equal sets, and only they, share it.
-    The sets are stored once, as a table; which rows repeat a class is found from
-    the digests alone, so no set is shuffled for it.
-    """
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where(
-        F.col("id").isNotNull() & F.col("t").isNotNull()
+def bitmap(grams: Column) -> Column:
+    """Bits of a set's hashes by their highest bits, from ``grams`` with the least hash of each word but the first sorted in."""
+    starts = [-(1 << 63) + k * ((1 << 64) // BITMAP) for k in range(1, BITMAP)]
+    at = [F.lit(0), *[F.array_position(grams, F.lit(s)).cast("int") for s in starts], F.size(grams) + 1]
+    shift = 64 - 6 - (BITMAP - 1).bit_length()
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(g, shift).cast("int"))
+    return F.array(
+        *[
+            F.aggregate(F.slice(grams, at[k] + 1, at[k + 1] - at[k] - 1), F.lit(0).cast("bigint"), lambda m, g: m.bitwiseOR(bit(g)))
+            for k in range(BITMAP)
+        ]
     )
-    long = listed_words(n, threshold)
+
+
+def starts_in(grams: Column) -> Column:
+    """``grams`` as ``bitmap`` reads them."""
+    return F.sort_array(F.concat(grams, F.array(*[F.lit(-(1 << 63) + k * ((1 << 64) // BITMAP)) for k in range(1, BITMAP)])))
+
+
+def digest(grams: Column) -> Column:
+    """128 bits that stand for a whole set."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), grams)), 16, "0") for seed in (1, 2)]))
+
+
+def _cut(rows: DataFrame, n: int, least: int) -> DataFrame:
+    """``rows`` with words ``w`` for the text ``t``, where there are enough."""
     # Exploded, so that the filter stays above it and texts are cut into words once.
-    tokens = rows.select("id", F.explode(F.array(words(F.col("t")))).alias("w")).where(F.size("w") >= max(n, min_words))
-    short = (F.size("w") < SHORT * long) if min_words < SURE * long else F.lit(False)
-    digest = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), "grams")), 16, "0") for seed in (1, 2)]))
-    listed = smallest(passages(F.col("h"), n, long), LIST_SKETCH) if long > n else F.slice("grams", 1, LIST_SKETCH)
-    sets = stored(
-        tokens.select("id", short.alias("short"), sequences(F.col("w"), n).alias("h"))
-        .select("id", "short", "h", smallest(F.col("h")).alias("grams"))
-        .select(
-            "id",
-            F.monotonically_increasing_id().alias("row"),
-            digest.alias("cls"),
-            F.size("grams").alias("n"),
-            F.slice("grams", 1, SKETCH).alias("sketch"),
-            "grams",
-            listed.alias("listed"),
-            "short",
+    return rows.select("*", F.explode(F.array(words(F.col("t")))).alias("w")).drop("t").where(F.size("w") >= least)
+
+
+class Texts:
+    """The texts of a table, their classes, and the folder that holds what is known of them.
+
+    ``ids`` has ``id, cls`` per distinct key with enough words; ``reps`` has ``cls, row,
+    id, n, short`` per class: its number, a key that has it, its set's size. ``cls``
+    is a digest of the whole set: equal sets, and only they, share it. ``lists`` has
+    ``row, listed, bits`` of every text, copies too; sets are not stored.
+    """
+
+    def __init__(self, df: DataFrame, key: str, text: str, n: int, threshold: float, min_words: int) -> None:
+        self.spark, self.n, self.threshold, self.least = df.sparkSession, n, threshold, max(n, min_words)
+        self.folder = scratch(self.spark, "neardup")
+        self.rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
+        long = listed_words(n, threshold)
+        short = (F.size("w") < SHORT * long) if min_words < SURE * long else F.lit(False)
+        listed = smallest(passages(F.col("h"), n, long), LIST_SKETCH) if long > n else F.slice("grams", 1, LIST_SKETCH)
+        sets = self.keep(
+            "lists",
+            _cut(self.rows, n, self.least)
+            .select("id", short.alias("short"), sequences(F.col("w"), n).alias("h"))
+            .select("id", "short", "h", smallest(F.col("h")).alias("grams"))
+            .select("id", "short", F.size("grams").alias("n"), digest(F.col("grams")).alias("cls"), listed.alias("listed"), starts_in(F.col("grams")).alias("g"))
+            .select("id", F.monotonically_increasing_id().alias("row"), "cls", "n", "short", "listed", bitmap(F.col("g")).alias("bits")),
         )
-    )
-    first = sets.groupBy("cls").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    repeats = stored(sets.select("cls", "row").join(first, "cls").where("row <> first").select("row"))
-    # Deliveries of a key agree in their text; if they did not, the least digest would stand.
-    ids = stored(sets.select("id", "cls").groupBy("id").agg(F.min("cls").alias("cls")))
-    return ids, sets.join(repeats, "row", "left_anti").drop("id", "row")
-
-
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` (a < b): classes that meet in an inverted list."""
-    by_passage = reps.select("cls", "n", F.explode("listed").alias("v"))
-    often = stored(by_passage.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    passages = by_passage.join(often.where(F.col("df") <= HOT), "v")
-    # Two sets of s and more at the threshold share a value among the s - t + 1 rarest, t = threshold * s.
-    stock = by_passage.join(often.where(F.col("df") > HOT), "v").select("cls").distinct().withColumn("hot", F.lit(True))
-    few = reps.select("cls", "n", "short", "grams").join(stock, "cls", "left").where("short or hot").select("cls", "n", F.explode("grams").alias("v"))
+        first = sets.groupBy("cls").agg(F.min(F.struct("row", "id", "n", "short")).alias("first"))
+        self.reps = self.keep("reps", first.select("cls", "first.*"))
+        # Deliveries of a key agree in their text; if they did not, the least digest would stand.
+        self.ids = self.keep("ids", sets.select("id", "cls").groupBy("id").agg(F.min("cls").alias("cls")))
+        self.lists = sets.select("row", "listed", "bits")
+        #: About what the texts weigh on disk, and so may a slice's files.
+        self.weight = WORD * (self.reps.agg(F.sum("n")).first()[0] or 0) + SLICE
+
+    def keep(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        return added(df, f"{self.folder}/{name}", *by)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
+    def slices(self, weight: float) -> int:
+        return max(1, math.ceil(weight / self.weight))
+
+    def sets(self, rows: DataFrame) -> DataFrame:
+        """``row, grams`` for the classes of ``rows(row)``, cut from their texts again."""
+        named = self.reps.select("row", "id", "cls").join(rows, "row")
+        again = (
+            _cut(self.rows.join(named, "id"), self.n, self.least)
+            .select("id", "row", "cls", smallest(sequences(F.col("w"), self.n)).alias("grams"))
+            .where(digest(F.col("grams")) == F.col("cls"))
+        )
+        return again.groupBy("id", "row").agg(F.first("grams").alias("grams")).select("row", "grams")
+
+
+def _rare(texts: Texts, flagged: DataFrame) -> DataFrame:
+    """``row, v, df``: classes under their rarest sequences.
+
+    Two sets of s and more at the threshold share a value among the s - t + 1 rarest, t = threshold * s.
+    """
+    few = texts.keep("few", texts.sets(flagged).select("row", F.size("grams").alias("n"), F.explode("grams").alias("v")))
     seen = few.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    first = F.col("n") - F.ceil(F.col("n") * texts.threshold - 1e-9).cast("int") + 1
     rare = (
         few.join(seen, "v")
-        .groupBy("cls", "n")
+        .groupBy("row", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("e"))
-        .select("cls", "n", F.explode(F.slice("e", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("e"))
-        .select("cls", "n", "e.v", "e.df")
+        .select("row", F.explode(F.slice("e", F.lit(1), first)).alias("e"))
+        .select("row", "e.v", "e.df")
         .where("df > 1")
     )
-    postings = passages.select("cls", "n", "v", "df").unionByName(rare).select(
-        "cls", "n", "v", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")
-    )
-    left = postings.select(
-        F.col("cls").alias("a"), F.col("n").alias("na"), "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk")
-    )
-    right = postings.select(
-        F.col("cls").alias("b"), F.col("n").alias("nb"), "v", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("blk")
-    )
-    close = (F.col("a") < F.col("b")) & (
-        F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    )
-    return left.join(right, ["v", "blk"]).where(close).select("a", "b").distinct()
-
-
-def _both(pairs: DataFrame, reps: DataFrame, column: str) -> DataFrame:
-    """``a, b, x, y`` with ``column`` of both classes: one pass over the classes, then a meeting per pair."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
-    brought = sides.join(reps.select("cls", F.col(column).alias("c")), "cls")
-    side = lambda k: F.max(F.when(F.col("cls") == F.col(k), F.col("c")))
-    return brought.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
-
-
-def links(reps: DataFrame, threshold: float) -> DataFrame:
+    rare = texts.keep("rare", rare)
+    texts.drop("few")
+    return rare
+
+
+def _meet(texts: Texts, name: str, postings: DataFrame, n: int) -> None:
+    """Add to the table ``met`` the pairs of ``postings(row, v, df)``, ``n`` rows, that share a value and whose bitmaps don't rule them out."""
+    t, slices = texts.threshold, texts.slices(POSTING * n)
+    brought = texts.reps.select("row", "n").join(texts.lists.select("row", "bits"), "row")
+    if slices > 1:
+        postings = texts.keep(name, postings.select("row", "v", "df", F.pmod(F.xxhash64("v"), F.lit(slices)).cast("int").alias("slice")), "slice")
+    for k in range(slices):
+        chosen = postings.where(F.col("slice") == k) if slices > 1 else postings
+        mapped = chosen.select("row", "v", "df").join(brought, "row").withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int"))
+        # Of a pair one stands in every block and the other in its own. Both sides are one plan, shuffled once; hence no condition on one side alone.
+        spread = mapped.select(
+            "row", "n", "bits", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("own")
+        )
+        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        here = x("own") + y("own") == x("own") + y("blk")
+        size = F.least(x("n"), y("n")) >= F.lit(t) * F.greatest(x("n"), y("n")) - 1e-9
+        apart = reduce(add, [F.bit_count(F.get(x("bits"), F.lit(i)).bitwiseXOR(F.get(y("bits"), F.lit(i)))) for i in range(BITMAP)])
+        # Sets at the threshold differ in (1 - t) / (1 + t) of their sizes' sum at most.
+        close = apart <= (x("n") + y("n")) * F.lit((1 - t) / (1 + t)) + 1e-6
+        alike = (x("v") == y("v")) & (x("blk") == y("blk")) & (x("row") < y("row")) & here & size & close
+        met = spread.alias("x").join(spread.alias("y"), alike)
+        texts.keep("met", met.select(x("row").alias("a"), y("row").alias("b"), (x("n") + y("n")).alias("size")).distinct())
+    texts.drop(name)
+
+
+def candidates(texts: Texts) -> DataFrame:
+    """``a, b, size`` (a < b): numbers of classes that meet in an inverted list and whose bitmaps leave it open whether they are alike."""
+    by_passage = texts.lists.select("row", F.explode("listed").alias("v"))
+    flagged, slices = texts.reps.where("short").select("row"), texts.slices(VALUE * (texts.lists.agg(F.sum(F.size("listed"))).first()[0] or 0))
+    for k in range(slices):
+        mine = by_passage.where(F.pmod("v", F.lit(slices)) == k)
+        often = texts.keep(f"often-{k}", mine.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+        n, hot = often.agg(F.sum(F.when(F.col("df") <= HOT, F.col("df"))), F.max("df") > HOT).first()
+        if hot:
+            stock = mine.join(often.where(F.col("df") > HOT).select("v"), "v").select("row").distinct()
+            flagged = flagged.unionByName(texts.keep(f"stock-{k}", stock))
+        _meet(texts, f"postings-{k}", mine.join(often.where(F.col("df") <= HOT), "v"), n or 0)
+        texts.drop(f"often-{k}")
+    flagged = texts.keep("flagged", flagged.distinct())
+    if not flagged.isEmpty():
+        rare = _rare(texts, flagged)
+        _meet(texts, "postings", rare, rare.count())
+    met = texts.spark.read.parquet(f"{texts.folder}/met")
+    pairs = texts.keep("pairs", met.distinct())
+    texts.drop("flagged", "rare", "met", "lists", *[f"stock-{k}" for k in range(slices)])
+    return pairs
+
+
+def links(texts: Texts) -> DataFrame:
     """``a, b, similarity``: every pair of classes with exact Jaccard at the threshold."""
-    union = F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH)
-    in_both = F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("u")))
-    k = F.size("u")
-    likely = (
-        _both(candidates(reps, threshold), reps, "sketch")
-        .withColumn("u", union)
-        .where(in_both >= threshold * k - SIGMAS * F.sqrt(k * threshold * (1 - threshold)))
-        .select("a", "b")
-    )
-    return (
-        _both(likely, reps, "grams")
-        .withColumn("shared", F.size(F.array_intersect("x", "y")))
-        .withColumn("union", F.size("x") + F.size("y") - F.col("shared"))
-        .where(F.col("shared") >= F.col("union") * F.lit(threshold) - 1e-9)
-        .select("a", "b", (F.col("shared") / F.col("union")).alias("similarity"))
+    pairs = candidates(texts)
+    # A pair brings two sets, and one of them once more.
+    slices = texts.slices(MEMBER * (pairs.agg(F.sum("size")).first()[0] or 0) / 2)
+    name = texts.reps.select("row", "cls")
+    for k in range(slices):
+        mine = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k).select("a", "b")
+        needed = mine.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        sets = texts.keep(f"grams-{k}", texts.sets(needed))
+        alike = (
+            mine.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a")
+            .join(sets.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b")
+            .withColumn("shared", F.size(F.array_intersect("x", "y")))
+            .withColumn("union", F.size("x") + F.size("y") - F.col("shared"))
+            .where(F.col("shared") >= F.col("union") * F.lit(texts.threshold) - 1e-9)
+            .select("a", "b", (F.col("shared") / F.col("union")).alias("similarity"))
+        )
+        texts.keep("alike", alike)
+        texts.drop(f"grams-{k}")
+    numbered = texts.spark.read.schema(alike.schema).parquet(f"{texts.folder}/alike")
+    linked = (
+        numbered.withColumnsRenamed({"a": "i", "b": "j"})
+        .join(name.withColumnsRenamed({"row": "i", "cls": "a"}), "i")
+        .join(name.withColumnsRenamed({"row": "j", "cls": "b"}), "j")
+        .select("a", "b", "similarity")
     )
+    linked = texts.keep("links", linked)
+    texts.drop("pairs", "alike")
+    return linked
 
 
 def near_duplicate_pairs(
@@ -182,9 +284,10 @@ def near_duplicate_pairs(
     than ``max(n, min_words)`` words, take part in nothing. Expands classes into
     their members, so use ``near_duplicate_groups`` where copies abound.
     """
-    ids, reps = classes(df, key, text, n, threshold, min_words)
+    texts = Texts(df, key, text, n, threshold, min_words)
+    ids = texts.ids
     across = (
-        links(reps, threshold)
+        links(texts)
         .join(ids.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a")
         .join(ids.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
         .select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
@@ -263,8 +366,8 @@ def near_duplicate_groups(
     words in the same order; a text without a word, or null, is a group of its
     own. Null keys have no row; rows that repeat a key count once.
     """
-    ids, reps = classes(df, key, text, n, threshold, min_words)
-    linked = cut(links(reps, threshold).select("a", "b"))
+    texts = Texts(df, key, text, n, threshold, min_words)
+    ids, linked = texts.ids, links(texts).select("a", "b")
     degree = (
         linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     )
